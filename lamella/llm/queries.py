@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import exact_dedup, sharding
+from lamella.llm import best_fit_packing, exact_dedup, sharding
 from lamella.llm.common import documents
+from lamella.llm.tokenise import vocabulary
 
 SHARDS = 40
 
@@ -29,7 +30,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_sharding": op5_sharding}
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.packed(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_sharding": op5_sharding, "op7_best_fit_packing": op7_best_fit_packing}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
 
 
