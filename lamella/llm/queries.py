@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import best_fit_packing, exact_dedup, sharding
+from lamella.llm import best_fit_packing, exact_dedup, media_sniff, secret_links, sharding, wavelet_shards
 from lamella.llm.common import documents
 from lamella.llm.tokenise import vocabulary
 
@@ -34,7 +34,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.packed(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_sharding": op5_sharding, "op7_best_fit_packing": op7_best_fit_packing}
+def op6_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_sniff.features(media_sniff.store(documents(spark, sf_dir)))
+
+
+def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet_shards.stored(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_links.scan(documents(spark, sf_dir))
+    spans = F.col("spans")
+    return found.select("doc_id", *(secret_links.count_of(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(secret_links.listed(secret_links.base_of(spans)), 256).alias("base_sha256"), secret_links.listed(spans).alias("spans"))
+
+
+QUERIES = {"op2_secret_links": op2_secret_links, "op6_media_sniff": op6_media_sniff, "op9_wavelet_shards": op9_wavelet_shards, "op4_exact_dedup": op4_exact_dedup, "op5_sharding": op5_sharding, "op7_best_fit_packing": op7_best_fit_packing}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
 
 
