@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import best_fit_packing, exact_dedup, media_sniff, secret_links, sharding, wavelet_shards
+from lamella.llm import best_fit_packing, exact_dedup, media_sniff, secret_links, sharding, source_mixing, wavelet_shards
 from lamella.llm.common import documents
 from lamella.llm.tokenise import vocabulary
 
@@ -48,8 +48,41 @@ def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(secret_links.count_of(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(secret_links.listed(secret_links.base_of(spans)), 256).alias("base_sha256"), secret_links.listed(spans).alias("spans"))
 
 
-QUERIES = {"op2_secret_links": op2_secret_links, "op6_media_sniff": op6_media_sniff, "op9_wavelet_shards": op9_wavelet_shards, "op4_exact_dedup": op4_exact_dedup, "op5_sharding": op5_sharding, "op7_best_fit_packing": op7_best_fit_packing}
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixture(documents(spark, sf_dir))
+
+
+def _divided(level: str, parent: str, previous: str, weight: str) -> str:
+    """SQL for one level of the water filling: ``previous`` has a row per leaf with its amount."""
+    path = f"{parent}, {level}" if parent else level
+    of = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+{level}_w AS (SELECT {path}, any_value(amount) AS amount, sum(capacity)::HUGEINT AS cap, ({weight})::HUGEINT AS w FROM {previous} GROUP BY {path}),
+{level}_r AS (SELECT *, cap::DOUBLE / w::DOUBLE AS ratio FROM {level}_w),
+{level}_l AS (SELECT *, amount - coalesce(sum(cap) OVER ({of} ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rem,
+  sum(w) OVER ({of}) - coalesce(sum(w) OVER ({of} ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS others FROM {level}_r),
+{level}_f AS (SELECT *, bool_and(cap * others <= rem * w) OVER ({of} ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM {level}_l),
+{level}_m AS (SELECT *, min(CASE WHEN NOT filled THEN row(ratio, {level}, rem, others) END) OVER ({of}) AS rest FROM {level}_f),
+{level}_s AS (SELECT {path}, (CASE WHEN filled THEN cap ELSE (rest[3] * w)::HUGEINT // rest[4]::HUGEINT END)::HUGEINT AS share FROM {level}_m),
+{level}_n AS (SELECT p.* EXCLUDE (amount), s.share AS amount FROM {previous} p JOIN {level}_s s USING ({path})),"""
+
+
+_AIM = source_mixing.Mixture()
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, 'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT), 0) % 3) AS domain, coalesce(lang, '') AS language,
+  coalesce(source, '') AS origin, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+leaf AS (SELECT domain, language, origin, sum(n_tokens)::HUGEINT AS tokens FROM d GROUP BY ALL),
+top AS (SELECT *, tokens * {_AIM.max_epochs} AS capacity, least((sum(tokens) OVER ())::HUGEINT * {_AIM.budget[0]} // {_AIM.budget[1]}, (sum(tokens) OVER ())::HUGEINT * {_AIM.max_epochs}) AS amount FROM leaf),
+{_divided("domain", "", "top", _AIM.weights["domain"])}{_divided("language", "domain", "domain_n", _AIM.weights["language"])}{_divided("origin", "domain, language", "language_n", _AIM.weights["origin"])}
+plan AS (SELECT domain, language, origin, CASE WHEN tokens > 0 THEN amount // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN amount % tokens ELSE amount END AS rest FROM origin_n),
+placed AS (SELECT d.*, epochs, rest, ('0x' || substr(md5('{_AIM.seed}:' || (epochs + 1) || ':' || doc_id), 1, 15))::BIGINT AS h FROM d JOIN plan USING (domain, language, origin)),
+prefix AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest AS more FROM placed),
+taken AS (SELECT *, unnest(generate_series(1, (epochs + more::INT)::BIGINT)) AS epoch FROM prefix)
+SELECT doc_id, domain, language, origin, n_tokens, epoch::INT AS epoch, ('0x' || substr(md5('{_AIM.seed}:' || epoch || ':' || doc_id), 1, 15))::BIGINT AS order_hash FROM taken
+"""
+
+QUERIES = {"op3_source_mixing": op3_source_mixing, "op2_secret_links": op2_secret_links, "op6_media_sniff": op6_media_sniff, "op9_wavelet_shards": op9_wavelet_shards, "op4_exact_dedup": op4_exact_dedup, "op5_sharding": op5_sharding, "op7_best_fit_packing": op7_best_fit_packing}
+ORACLES = {"op3_source_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL}
 
 
 def queries() -> dict:
