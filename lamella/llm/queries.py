@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import best_fit_packing, exact_dedup, media_sniff, secret_links, sharding, source_mixing, wavelet_shards
+from lamella.llm import best_fit_packing, exact_dedup, media_sniff, ngram_join, secret_links, sharding, source_mixing, substring_dedup, toxicity_chain, wavelet_shards
 from lamella.llm.common import documents
 from lamella.llm.tokenise import vocabulary
 
@@ -81,7 +81,22 @@ taken AS (SELECT *, unnest(generate_series(1, (epochs + more::INT)::BIGINT)) AS
 SELECT doc_id, domain, language, origin, n_tokens, epoch::INT AS epoch, ('0x' || substr(md5('{_AIM.seed}:' || epoch || ':' || doc_id), 1, 15))::BIGINT AS order_hash FROM taken
 """
 
-QUERIES = {"op3_source_mixing": op3_source_mixing, "op2_secret_links": op2_secret_links, "op6_media_sniff": op6_media_sniff, "op9_wavelet_shards": op9_wavelet_shards, "op4_exact_dedup": op4_exact_dedup, "op5_sharding": op5_sharding, "op7_best_fit_packing": op7_best_fit_packing}
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_chain.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(documents(spark, sf_dir), texts=False)
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity_chain, op2_secret_links, op3_source_mixing, op4_exact_dedup, op5_sharding, op6_media_sniff, op7_best_fit_packing, op8_substring_dedup, op9_wavelet_shards, op10_ngram_join)
+}
 ORACLES = {"op3_source_mixing": OP3_SQL, "op4_exact_dedup": OP4_SQL}
 
 
