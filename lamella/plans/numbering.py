@@ -35,3 +35,21 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: Colu
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = cut.join(base, same, "left")
     return joined.withColumn(out, F.col("__base") + F.coalesce(F.sum(value.cast("bigint")).over(within), F.lit(0))).drop(BUCKET, "__base", *(f"__k{i}" for i in range(len(keys))))
+
+
+def ordered_total(df: DataFrame, order: list[str], value: Column, out: str, partitions: int | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over all rows before this one in the global ``order``.
+
+    Rows are dealt by ranges of the order and stored with their range's number; the ranges'
+    totals are added up in a small window, and each range is ordered on its own.
+    """
+    from lamella.plans.spool import spool
+
+    dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    stored = spool(dealt.withColumn("__range", F.spark_partition_id()), "ordered")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = stored.groupBy("__range").agg(F.sum(value.cast("bigint")).alias("__sum"))
+    base = totals.select(F.col("__range").alias("__of"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = stored.join(base, F.col("__range") == F.col("__of"))
+    return joined.withColumn(out, F.col("__base") + F.coalesce(F.sum(value.cast("bigint")).over(within), F.lit(0))).drop("__range", "__of", "__base")
