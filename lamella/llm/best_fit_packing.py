@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.common import out_batches, rows_of, whole_text
-from lamella.llm.tokenise import ChunkEncoder
+from lamella.llm.tokenise import encoder
 from lamella.plans.numbering import number_rows
 from lamella.plans.spool import spool
 
@@ -41,11 +41,11 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END) -
     end_id = np.array([end], dtype="<u4").tobytes()
 
     def cut(batches):
-        encoder = ChunkEncoder(vocabulary, spaces=True)
+        coder = encoder(vocabulary, True)
 
         def rows() -> Iterator[tuple]:
             for doc_id, text in rows_of(batches, "doc_id", "text"):
-                ids = encoder.encode(text) + end_id
+                ids = coder.encode(text) + end_id
                 n = len(ids) // 4
                 ends = range(n % size or size, n + 1, size)
                 for k, stop in enumerate(ends):

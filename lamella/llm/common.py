@@ -36,9 +36,11 @@ class Memo(dict):
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """The named columns of each row, as Python values."""
+    """The named columns of each row, as Python values; a few hundred rows are held at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+        for start in range(0, batch.num_rows, 256):
+            some = batch.slice(start, 256)
+            yield from zip(*(some.column(some.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
 def out_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096, weight: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -103,6 +103,9 @@ def duplicates(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     index = index_of(docs, digest)
     found = index.lookup(docs).select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
     repeated = index.entries().groupBy("digest", "doc_id").count().where("count > 1").select(F.col("digest").alias("again"), F.col("doc_id").alias("again_id"))
+    repeated = spool(repeated, "lsm-repeated")
+    if repeated.isEmpty():
+        return found
     tie = (F.col("digest") == F.col("again")) & F.col("doc_id").eqNullSafe(F.col("again_id"))
     marked = found.join(repeated, tie, "left")
     once = marked.where("again is null").drop("again", "again_id")
@@ -120,9 +123,11 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     index = index_of(docs)
     found = spool(index.lookup(docs).where("n > 1"), "lsm-hits")
     drop = found.where("not (doc_id <=> keep_id)").select(F.struct(F.col("doc_id")).alias("__drop"), F.col("digest").alias("__digest"))
-    repeats = found.where("doc_id <=> keep_id").groupBy("digest", "doc_id").count().where("count > 1").select(F.col("digest").alias("__again"))
+    repeats = spool(found.where("doc_id <=> keep_id").groupBy("digest", "doc_id").count().where("count > 1").select(F.col("digest").alias("__again")), "lsm-repeated")
     keyed = docs.withColumn("__norm_digest", sha256_digest(normalised(whole_text())))
     left = keyed.join(drop, (F.struct(F.col("doc_id").cast("long").alias("doc_id")) == F.col("__drop")) & (F.col("__norm_digest") == F.col("__digest")), "left_anti")
+    if repeats.isEmpty():
+        return left.select(*docs.columns)
     again = left.join(repeats, F.col("__norm_digest") == F.col("__again"), "left")
     single = again.where("__again is null")
     one = Window.partitionBy("__norm_digest").orderBy(F.xxhash64(*docs.columns))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lamella.llm.common import out_batches, rows_of, whole_text
 from lamella.llm.components import components
 from lamella.llm.shared_keys import Packing, gathered, keys_of, ranges_for, shared
-from lamella.llm.words import sequences, signed, word_hashes
+from lamella.llm.words import mixed, sequences, signed, word_hashes
 from lamella.plans.spool import spool
 
 WORDS = 5
@@ -99,8 +99,19 @@ def prefix(keys: np.ndarray, dfs: np.ndarray, n: int, percent: int = PERCENT) ->
     return keys[order[: ends[best]]], int(ls[best])
 
 
-CLASS = "identity bigint, n int, l int, keys binary, prefix binary"
-CLASS_ARROW = pa.schema([("identity", pa.int64()), ("n", pa.int32()), ("l", pa.int32()), ("keys", pa.binary()), ("prefix", pa.binary())])
+#: 64-bit words of the parity bitmap.
+LANES = 8
+PARITY = [f"p{k}" for k in range(LANES)]
+NUMBERS = ("n", "l", "alone", *PARITY)
+CLASS = "identity bigint, n int, l int, alone int, keys binary, prefix binary, parity binary"
+CLASS_ARROW = pa.schema([("identity", pa.int64()), ("n", pa.int32()), ("l", pa.int32()), ("alone", pa.int32()), ("keys", pa.binary()), ("prefix", pa.binary()), ("parity", pa.binary())])
+
+
+def parity(keys: np.ndarray) -> bytes:
+    """A bitmap in which every key flips one bit. Two sets differ in at least as many keys as
+    their bitmaps differ in bits."""
+    bits = np.bincount((mixed(keys) % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
 def classes(docs: DataFrame, total: int) -> DataFrame:
@@ -118,7 +129,7 @@ def classes(docs: DataFrame, total: int) -> DataFrame:
                 keys, dfs = keys_of(lists)
                 first, l = prefix(keys, dfs, n)
                 if len(first):
-                    yield who, n, l, keys.tobytes(), first.tobytes()
+                    yield who, n, l, n - len(keys), keys.tobytes(), first.tobytes(), parity(keys)
 
         yield from out_batches(rows(), CLASS_ARROW)
 
@@ -127,24 +138,37 @@ def classes(docs: DataFrame, total: int) -> DataFrame:
 
 
 def postings(known: DataFrame) -> DataFrame:
-    """shingle, identity, n, l of each prefix shingle; stored."""
-    schema = pa.schema([("shingle", pa.int64()), ("identity", pa.int64()), ("n", pa.int32()), ("l", pa.int32())])
+    """shingle, identity, n, l, alone and parity words of each prefix shingle; stored."""
+    numbers = ("n", "l", "alone")
+    schema = pa.schema([("shingle", pa.int64()), ("identity", pa.int64())] + [(c, pa.int32()) for c in numbers] + [(c, pa.int64()) for c in PARITY])
 
     def spread(batches):
         for b in batches:
             raw = [np.frombuffer(x, "<i8") for x in b.column("prefix").to_pylist()]
             times = [len(x) for x in raw]
             if sum(times):
-                columns = [np.concatenate(raw), *(np.repeat(b.column(c).to_numpy(), times) for c in ("identity", "n", "l"))]
+                words = np.frombuffer(b"".join(b.column("parity").to_pylist()), "<i8").reshape(-1, LANES)
+                columns = [np.concatenate(raw), *(np.repeat(b.column(c).to_numpy(), times) for c in ("identity", *numbers)), *(np.repeat(words[:, k], times) for k in range(LANES))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    rows = known.select("identity", "n", "l", "prefix").mapInArrow(spread, "shingle bigint, identity bigint, n int, l int")
+    rows = known.select("identity", *numbers, "prefix", "parity").mapInArrow(spread, "shingle bigint, identity bigint, n int, l int, alone int, " + ", ".join(f"{c} bigint" for c in PARITY))
     return spool(rows, "shingle-postings")
 
 
-def fits(n: str, m: str, percent: int = PERCENT):
-    """Sizes that two linked sets can have."""
-    return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
+def may_link(percent: int = PERCENT):
+    """Whether two sets (n, alone, p0...; m, alone2, q0...) can be similar enough.
+
+    They differ in at least the shingles that each has alone and the bits in which their
+    bitmaps differ; linked sets of n and m differ in (n + m) / 7 at most.
+    """
+    bits = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"q{k}"))) for k, p in enumerate(PARITY)), F.col("alone") + F.col("alone2"))
+    sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    return sizes & (bits * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+
+
+def second(frame: DataFrame, *more: str) -> DataFrame:
+    """The other side of a pair, under other names."""
+    return frame.select("shingle", F.col("identity").alias("b"), F.col("n").alias("m"), F.col("alone").alias("alone2"), *(F.col(p).alias(f"q{k}") for k, p in enumerate(PARITY)), *more)
 
 
 def verified(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -168,9 +192,16 @@ def verified(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) -> Data
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
-    """Each class with the list head that it shares most of its prefix with: one pair per class."""
-    heads = lists.groupBy("shingle").agg(F.min(F.struct("identity", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("shingle", F.col("head.identity").alias("b"), F.col("head.n").alias("m"))
-    near = lists.join(heads, "shingle").where(F.col("identity") != F.col("b")).where(fits("n", "m"))
+    """Each class with the list head that it shares most of its prefix with: one pair per class.
+
+    A list's head is its class with the least share of shingles of its own, such as the
+    text that the others are copies of.
+    """
+    share = F.struct(F.floor(F.col("alone") * 1000 / F.col("n")).alias("share"), F.col("identity"))
+    heads = lists.groupBy("shingle").agg(F.min(share)["identity"].alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("shingle", "head")
+    known = lists.join(heads, "shingle")
+    near = known.join(second(lists.select("identity", *NUMBERS).distinct().withColumn("shingle", F.lit(0))).drop("shingle"), F.col("head") == F.col("b"))
+    near = near.where(F.col("identity") != F.col("b")).where(may_link())
     best = near.groupBy("identity", "b").count().groupBy("identity").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     return best.select(F.col("identity").alias("a"), "b")
 
@@ -181,14 +212,14 @@ def cross_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
     In each list, the classes outside its most frequent component are joined with all
     others; classes of that component are not joined with one another.
     """
-    rooted = lists.join(roots, lists["identity"] == roots["node"], "left").select("shingle", "identity", "n", "l", F.coalesce("root", "identity").alias("root"))
-    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    rest = spool(rooted.join(mixed, "shingle", "left_semi"), "shingle-rest")
+    rooted = lists.join(roots, lists["identity"] == roots["node"], "left").select("shingle", "identity", *NUMBERS, F.coalesce("root", "identity").alias("root"))
+    mixed_lists = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    rest = spool(rooted.join(mixed_lists, "shingle", "left_semi"), "shingle-rest")
     main = rest.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    left = rest.join(main, "shingle").where("root <> main").select("shingle", "main", F.col("identity").alias("a"), "n", F.col("l").alias("k"), F.col("root").alias("r"))
-    right = rest.select("shingle", F.col("identity").alias("b"), F.col("n").alias("m"), "l", "root")
+    left = rest.join(main, "shingle").where("root <> main").select("shingle", "main", F.col("identity").alias("a"), "n", "alone", *PARITY, F.col("l").alias("k"), F.col("root").alias("r"))
+    right = second(rest, "l", "root")
     once = (F.col("root") == F.col("main")) | (F.col("r") < F.col("root"))
-    met = left.join(right, "shingle").where((F.col("r") != F.col("root")) & once & fits("n", "m"))
+    met = left.join(right, "shingle").where((F.col("r") != F.col("root")) & once & may_link())
     low, high = F.least("a", "b"), F.greatest("a", "b")
     counts = met.select(low.alias("a"), high.alias("b"), F.least("k", "l").alias("need")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("matches"), F.first("need").alias("need"))
     return counts.where("matches >= need").select("a", "b")

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys per packed batch of a task, and about how many entries one key range has.
-PER_FLUSH = 1 << 20
-PER_RANGE = 1 << 21
+PER_FLUSH = 1 << 19
+PER_RANGE = 1 << 20
 #: An identity for entries that stand for many texts.
 MANY = np.iinfo(np.int64).min
 

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
-from lamella.llm.common import MEMO_ENTRIES
+#: Chunks per generation of a worker's memo; there are two generations, of about 200 bytes a chunk.
+MEMO_CHUNKS = 600_000
 
 #: A blank between two characters that are no white space starts a token of its own word.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -21,6 +23,14 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")
 ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z|\x00")
 #: Chunks that keep their tokens between two line ends.
 FIRM = re.compile(r" ?\S(?:.*\S)?\Z", re.S)
+#: A word and the ASCII punctuation after it, which always are tokens of their own.
+TAIL = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-^`{-~]+)\Z")
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, spaces: bool) -> ChunkEncoder:
+    """One encoder per worker process, so that its memo outlives a task."""
+    return ChunkEncoder(path, spaces)
 
 
 def vocabulary(name: str) -> str:
@@ -61,30 +71,40 @@ class ChunkEncoder:
         chunks = self.chunks(text)
         found = list(map(self.memo.get, chunks))
         if None in found:
-            missing = dict.fromkeys(x for x, ids in zip(chunks, found, strict=True) if ids is None)
-            if len(self.memo) >= MEMO_ENTRIES:  # what was used of late is taken over when it is needed again
+            missing = {x for x, ids in zip(chunks, found, strict=True) if ids is None}
+            if len(self.memo) >= MEMO_CHUNKS:  # what was used of late is taken over when it is needed again
                 self.older, self.memo = self.memo, {}
-                missing = dict.fromkeys(chunks)
-            self._learn([x for x in missing if not self._recalled(x)])
-            found = map(self.memo.__getitem__, chunks)
+                missing = set(chunks)
+            self._learn(missing)
+            memo = self.memo
+            found = [memo[x] if ids is None else ids for x, ids in zip(chunks, found, strict=True)]
         return b"".join(found)
 
-    def _recalled(self, chunk: str) -> bool:
-        ids = self.older.get(chunk)
-        if ids is not None:
-            self.memo[chunk] = ids
-        return ids is not None
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [x for x in new if self.mark not in x and FIRM.match(x)]
+    def _learn(self, missing: set[str]) -> None:
+        memo, older = self.memo, self.older
+        new, tailed = set(), []
+        for x in missing:
+            if (ids := older.get(x)) is not None:
+                memo[x] = ids
+            elif parts := TAIL.match(x):
+                tailed.append((x, *parts.groups()))
+                new.update(y for y in parts.groups() if y not in memo)
+            else:
+                new.add(x)
+        self._encode_new(new)
+        for x, word, tail in tailed:
+            memo[x] = memo[word] + memo[tail]
+
+    def _encode_new(self, new: set[str]) -> None:
+        plain = [x for x in new if FIRM.match(x) and self.mark not in x]
         ids = self._ids(self.joint.join(plain))
         ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
         raw, start = ids.tobytes(), 0
         for x, end in zip(plain, ends, strict=bool(plain)):
             self.memo[x] = raw[4 * start : 4 * end]
             start = end + 1
-        for x in new:
-            if x not in self.memo:
+        if len(plain) < len(new):
+            for x in new.difference(plain):
                 self.memo[x] = self._ids(x).tobytes()
 
     def _ids(self, text: str) -> np.ndarray:

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.common import out_batches, rows_of, whole_text
-from lamella.llm.tokenise import ChunkEncoder
+from lamella.llm.tokenise import encoder
 from lamella.plans.spool import spool_path
 
 END = 2
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 BLOCK = 512
 HEADER = struct.Struct("<4sIQI")
 MAGIC = b"WMX1"
@@ -54,11 +54,10 @@ def build(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray) -> bytes:
     parts = [doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes()]
     for level in range(levels - 1, -1, -1):
         ones = (x & (1 << level)) != 0
-        zeros = ~ones
         packed = np.packbits(ones, bitorder="little")
         blocks = np.add.reduceat(ones, np.arange(0, len(x), BLOCK), dtype=np.uint32) if len(x) else np.zeros(0, np.uint32)
         parts += [packed.tobytes(), (np.cumsum(blocks) - blocks).astype("<u4").tobytes()]
-        x = np.concatenate([x[zeros], x[ones]])
+        x = np.concatenate([x.take(np.flatnonzero(~ones)), x.take(np.flatnonzero(ones))])
     body = [squeeze(p) for p in parts]
     sizes = struct.pack(f"<{len(body)}I", *map(len, body))
     return HEADER.pack(MAGIC, len(doc_ids), len(ids), levels) + sizes + b"".join(body)
@@ -152,8 +151,8 @@ class WaveletFile:
         for k in range(self.levels - 1, -1, -1):
             ones = np.unpackbits(self.planes[k], bitorder="little", count=self.n).view(bool)
             up, zeros = np.empty_like(x), self.zeros[k]
-            up[~ones] = x[:zeros]
-            up[ones] = x[zeros:] | np.array(1 << (self.levels - 1 - k), x.dtype)
+            up[np.flatnonzero(~ones)] = x[:zeros]
+            up[np.flatnonzero(ones)] = x[zeros:] | np.array(1 << (self.levels - 1 - k), x.dtype)
             x = up
         return x
 
@@ -163,13 +162,13 @@ def write(docs: DataFrame, vocabulary: str, path: str, end: int = END, shard_tok
     end_id = np.array([end], dtype="<u4").tobytes()
 
     def encode(batches):
-        encoder = ChunkEncoder(vocabulary, spaces=False)
+        coder = encoder(vocabulary, False)
         first = TaskContext.get().partitionId() << 32
 
         def rows() -> Iterator[tuple]:
             shard, held, keys, n = first, [], [], 0
             for doc_id, text in rows_of(batches, "doc_id", "text"):
-                ids = encoder.encode(text) + end_id
+                ids = coder.encode(text) + end_id
                 if held and n + len(ids) // 4 > shard_tokens:
                     yield flushed(shard, held, keys)
                     shard, held, keys, n = shard + 1, [], [], 0

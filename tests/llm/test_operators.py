@@ -1,0 +1,426 @@
+"""Operators against brute force, round trips and held-out accuracy."""
+
+import collections
+import hashlib
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("lamella.llm")
+
+from lamella.llm import best_fit_packing, exact_dedup, media_sniff, ngram_join, secret_links, sharding, source_mixing, substring_dedup, toxicity_chain, wavelet_shards  # noqa: E402
+from lamella.llm.common import crc32_of  # noqa: E402
+from lamella.llm.components import components  # noqa: E402
+from lamella.llm.shared_keys import Packing  # noqa: E402
+from lamella.llm.tokenise import ChunkEncoder, vocabulary  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+
+def noisy(seed, n, words=120):
+    """Texts with copies, near copies and shared passages."""
+    r = random.Random(seed)
+    vocabulary_ = [f"w{i}" for i in range(400)]
+    passage = r.choices(vocabulary_, k=30)
+    out = []
+    for _ in range(n):
+        kind = r.random()
+        if out and kind < 0.5:
+            t = r.choice(out).split()
+            for _ in range(r.choice([0, 1, 1, 2, 4, 9])):
+                if t:
+                    t[r.randrange(len(t))] = r.choice(vocabulary_)
+            out.append(" ".join(t))
+        else:
+            t = r.choices(vocabulary_, k=r.randrange(1, words))
+            if kind > 0.8:
+                at = r.randrange(len(t))
+                t[at:at] = passage
+            out.append(" ".join(t))
+    return out
+
+
+# --- toxicity ---------------------------------------------------------------------------
+
+
+def test_chain_on_held_out_rows(spark):
+    r = random.Random(1)
+    plain, bad = [f"p{i}" for i in range(300)], ["moron", "scum", "fool"]
+    texts, rows = [], []
+    for i in range(600):
+        toxic, low = i % 5 == 0, i % 4 == 0
+        t = r.choices(plain, k=40)
+        if toxic:
+            t[r.randrange(40)] = r.choice(bad)
+        texts.append(" ".join(w + ("$$$" if low else "") for w in t))
+        rows.append((i, int(not low), int(toxic)))
+    labels = spark.createDataFrame(rows[:400], "doc_id bigint, quality int, toxic int")
+    got = {x.doc_id: x for x in toxicity_chain.classify(frame(spark, texts), labels).collect()}
+    held = range(400, 600)
+    assert np.mean([got[i].is_toxic == (i % 5 == 0) for i in held]) > 0.97
+    assert np.mean([got[i].is_low_quality == (i % 4 == 0) for i in held]) > 0.97
+
+
+def test_later_models_see_earlier_probabilities():
+    n = 400
+    r = np.random.default_rng(0)
+    y = np.column_stack([r.random(n) < 0.5, np.zeros(n)])
+    y[:, 1] = y[:, 0]
+    rows, hashed = np.flatnonzero(y[:, 0]), np.full(int(y[:, 0].sum()), 7)
+    chain = toxicity_chain.train(rows, hashed, np.zeros((n, 1)), np.arange(n) % 5, y.astype(int), ("a", "b"))
+    assert len(chain.models[1].dense) == 2 and chain.models[1].dense[1] > 0
+
+
+# --- secrets ----------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def base_spans(t):
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(out)]
+
+
+def test_base_spans(spark, texts):
+    r = random.Random(3)
+    parts = ["token", "secret: ", "Password='", "=", ":", " ", '"', "api_key", "apikey=", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "😀", "K", "abc", "abcdef.gh", "\n"]
+    cases = ["".join(r.choices(parts, k=r.randrange(1, 25))) for _ in range(300)] + list(texts.values())[:60]
+    got = secret_links.scan(frame(spark, cases)).select("doc_id", secret_links.listed(secret_links.base_of(F.col("spans"))).alias("s")).collect()
+    for row in got:
+        assert row.s == ",".join(base_spans(cases[row.doc_id])), cases[row.doc_id]
+
+
+def test_linking(spark):
+    blob, far = "zQ9xY7wV5uT3sR1pO8nM6lK4", "x" * 300 + " " + "y" * 300
+    cases = [
+        f"user=alice {blob}",  # an identifier beside a weak secret: both
+        f"just {blob} alone",
+        f"user=alice {far} {blob}",  # out of scope
+        "user=alice only",
+        "see https://db.example.com/x here",
+        "https://db.example.com/x user=bob password=hunter22",  # all three
+        f"https://db.example.com/x {blob}",
+    ]
+    got = {r.doc_id: r.s.split(",") if r.s else [] for r in secret_links.scan(frame(spark, cases)).select("doc_id", secret_links.listed(F.col("spans")).alias("s")).collect()}
+    kinds = {k: sorted(x.split(":")[0] for x in v) for k, v in got.items()}
+    assert kinds == {0: ["blob", "login"], 1: [], 2: [], 3: [], 4: [], 5: ["assign", "endpoint", "login"], 6: ["blob"]}
+
+
+# --- mixing -----------------------------------------------------------------------------
+
+
+def filled(amount, children):
+    """children: name -> (capacity, weight). Water filling, one child at a time."""
+    out, left = {}, dict(children)
+    while left:
+        total = sum(w for _, w in left.values())
+        full = [n for n, (c, w) in left.items() if c * total <= amount * w]
+        if not full:
+            return out | {n: amount * w // total for n, (c, w) in left.items()}
+        name = min(full, key=lambda n: (left[n][0] / left[n][1], n))
+        out[name] = left[name][0]
+        amount -= left.pop(name)[0]
+    return out
+
+
+def test_water_filling(spark):
+    r = random.Random(5)
+    for _ in range(5):
+        children = {f"c{i}": (r.randrange(0, 1000), r.randrange(1, 6)) for i in range(8)}
+        amount = r.randrange(0, sum(c for c, _ in children.values()) + 1)
+        nodes = spark.createDataFrame([(n, amount, c, w) for n, (c, w) in children.items()], "name string, amount bigint, capacity bigint, weight bigint")
+        got = {x.name: x.share for x in source_mixing.divide(nodes, [], "name").collect()}
+        assert got == filled(amount, children)
+
+
+def test_shortage_goes_to_siblings_first(spark):
+    leaves = [("d1", "a", "s1", 10), ("d1", "a", "s2", 1000), ("d2", "a", "s3", 1000)]
+    aim = source_mixing.Mixture(weights={"domain": "1", "language": "1", "origin": "1"}, budget=(1, 2), max_epochs=1)
+    plan = {r.origin: r.share for r in source_mixing.leaf_plan(spark.createDataFrame(leaves, "domain string, language string, origin string, tokens bigint"), aim).collect()}
+    assert plan == {"s1": 10, "s2": 492, "s3": 502}  # s1's shortage stays in d1
+
+
+def test_prefixes_by_brute_force(spark):
+    r = random.Random(2)
+    rows = [(i, "w " * r.randrange(0, 60), r.choice(["en", "de"]), f"src{r.choice([0, 0, 0, 1, 2])}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    aim = source_mixing.Mixture()
+    leaf = source_mixing.leaf_plan(source_mixing.counted(docs, aim).groupBy(*aim.names).agg(F.sum("n_tokens").alias("tokens")), aim).collect()
+    got = collections.Counter(x.doc_id for x in source_mixing.mixture(docs, aim).collect())
+    want = collections.Counter()
+    for node in leaf:
+        members = [(i, len(t.split())) for i, t, lang, source in rows if lang == node.language and source == node.origin]
+        for epoch in range(1, node.epochs + 1):
+            want.update(i for i, _ in members)
+        order = sorted(members, key=lambda m: (int(hashlib.md5(f"{aim.seed}:{node.epochs + 1}:{m[0]}".encode()).hexdigest()[:15], 16), m[0]))
+        at = 0
+        for i, n in order:
+            if at >= node.rest:
+                break
+            want[i] += 1
+            at += n
+    assert got == want
+
+
+# --- exact dedup ------------------------------------------------------------------------
+
+
+def weak(norm):
+    return F.unhex(F.substring(F.md5(norm.cast("binary")), 1, 2))
+
+
+def test_collisions_are_told_apart(spark):
+    texts = noisy(4, 400, 8)
+    got = exact_dedup.duplicates(frame(spark, texts), weak).collect()
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(" ".join(t.split()), i)
+    size = collections.Counter(" ".join(t.split()) for t in texts)
+    assert len(got) == 400
+    for r in got:
+        norm = " ".join(texts[r.doc_id].split())
+        assert (r.keep_id, r.group_size, r.kept) == (first[norm], size[norm], first[norm] == r.doc_id)
+
+
+def test_index_takes_more_runs(spark):
+    index = exact_dedup.DigestIndex(spark, exact_dedup.spool_path(spark, "lsm-test"))
+    index.flush(frame(spark, ["a", "b"]))
+    index.flush(frame(spark, ["b", "c"]).withColumn("doc_id", F.col("doc_id") + 10))
+    assert sorted((r.keep_id, r.n) for r in index.compact().collect()) == [(0, 1), (1, 2), (11, 1)]
+
+
+# --- sharding ---------------------------------------------------------------------------
+
+
+def test_rendezvous(spark):
+    docs = frame(spark, ["t"] * 4000)
+    got = sharding.shards(docs, [1.0] * 9 + [3.0]).collect()
+    assert all(r.grown_shard in (r.shard, 10) for r in got)
+    share = collections.Counter(r.shard for r in got)
+    assert abs(share[9] / 4000 - 3 / 12) < 0.04
+    again = {r.doc_id: r.shard for r in sharding.assign(docs, [1.0] * 9 + [3.0, 1.0]).collect()}
+    assert again == {r.doc_id: r.grown_shard for r in got}
+
+
+# --- media ------------------------------------------------------------------------------
+
+
+def png():
+    def chunk(name, data):
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+def gif():
+    return b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0" * 6 + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00" + b"\x3b"
+
+
+def test_sniffing():
+    magics = media_sniff.automaton()
+    wav, gz = media_sniff.wave(b"abc" + png() + b"BM and GIF89a and RIFF"), zlib.compressobj(wbits=31)
+    gz = gz.compress(b"hello") + gz.flush()
+    assert media_sniff.sniff(wav, magics) == [("audio/wav", 0, len(wav)), ("image/png", 47, len(png()))]
+    assert media_sniff.sniff(gif() + gz, magics) == [("image/gif", 0, len(gif())), ("application/gzip", len(gif()), len(gz))]
+    assert media_sniff.sniff(png()[:-3], magics) == [] and media_sniff.sniff(wav[:-1], magics)[0][0] == "image/png"
+    bmp = b"BM" + struct.pack("<IIIIIIHH", 58, 0, 54, 40, 1, 1, 1, 24) + b"\0" * 24 + b"\1\2\3\0"
+    assert media_sniff.sniff(bmp, magics) == [("image/bmp", 0, 58)]
+
+
+def test_types_are_corrected_and_media_carved(spark):
+    media = spark.createDataFrame([(1, 0, "image/png", bytearray(media_sniff.wave(gif()))), (2, 0, "image/gif", bytearray(gif())), (3, 0, "audio/wav", bytearray(b"RIFFnothing"))], "doc_id bigint, n_bytes bigint, declared string, media binary")
+    got = {r.doc_id: (r.type, r.corrected) for r in media_sniff.features(media).collect()}
+    assert got == {1: ("audio/wav", True), 2: ("image/gif", False), 3: (media_sniff.UNKNOWN, True)}
+    (row,) = media_sniff.carve(media).collect()
+    assert (row.doc_id, row.type, bytes(row.medium)) == (1, "image/gif", gif())
+
+
+def test_payload_round_trip(spark, texts):
+    got = {r.doc_id: r for r in media_sniff.features(media_sniff.store(frame(spark, ["", "x" * 64, "é" * 40]))).collect()}
+    for i, t in enumerate(["", "x" * 64, "é" * 40]):
+        raw = t.encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (got[i].n_bytes, got[i].payload_bytes) == (len(raw), len(payload))
+        assert got[i].payload_sha256 == hashlib.sha256(payload).hexdigest() and got[i].tail_crc32 == zlib.crc32(payload[-64:])
+
+
+# --- tokens, packing, wavelet shards ------------------------------------------------------
+
+
+@pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_chunks_give_the_librarys_ids(texts, name, spaces):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary(name))
+    whole.encode_special_tokens = True
+    coder = ChunkEncoder(vocabulary(name), spaces)
+    odd = ["  a  b\n\n c\t d ", "x\x1cy z", "a 's b don't", "é́  ́x ΑΣ ΑΣ. <|endoftext|> y", "", "\n", " ", "日本語 テスト\r\n\r\nfoo   bar", " lead", "trail ", "a\n b", "a \nb", "1234 56,789 x..y", "é!? x²! a\x00b", "a\x01b \x01 c", "word### word###", "_x_ a_b!"]
+    for t in [*odd, *odd, *texts.values()]:
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t[:80]
+
+
+def test_plan_places_every_piece():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 7, 3000):
+        h = np.bincount(r.integers(1, 1025, n), minlength=1025)
+        steps = best_fit_packing.plan(h, 1024)
+        used = np.zeros(1025, int)
+        for times, lengths in steps:
+            assert sum(lengths) <= 1024
+            for x in lengths:
+                used[x] += times
+        assert (used == h).all()
+        lower = -(-int((h * np.arange(1025)).sum()) // 1024)
+        assert sum(t for t, _ in steps) <= lower * 1.02 + 2
+
+
+def test_packing(spark, docs, texts):
+    coder = ChunkEncoder(vocabulary("byte_bpe_50k.json"), True)
+    got = best_fit_packing.packed(docs, vocabulary("byte_bpe_50k.json")).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    for i, t in texts.items():
+        ids, at = [*np.frombuffer(coder.encode(t), "<u4").tolist(), 2], 0
+        for r in sorted(by[i], key=lambda r: r.piece):
+            assert r.start == at and r.ids_crc32 == crc32_of(ids[at : at + r.length]) and (r.piece == 0 or r.length == 1024)
+            at += r.length
+        assert at == len(ids)
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append(r)
+    for members in sequences.values():
+        at = 0
+        for r in sorted(members, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+
+
+def test_wavelet_queries_by_brute_force():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 511, 512, 513, 3000):
+        ids = r.zipf(1.3, n).clip(0, 49407)
+        file = wavelet_shards.WaveletFile(wavelet_shards.build(ids, np.array([n]), np.array([5])))
+        assert (file.ids() == ids).all() and all(file.access(i) == ids[i] for i in range(0, n, 37))
+        for t in (1, 2, 700, 49407, 1 << 20):
+            assert file.count(t) == (ids == t).sum() and file.locate(t).tolist() == np.flatnonzero(ids == t).tolist()
+            assert file.rank(t, n // 2) == (ids[: n // 2] == t).sum()
+            if file.count(t):
+                assert file.select(t, 0) == np.flatnonzero(ids == t)[0]
+
+
+def test_wavelet_shards(spark, docs, texts):
+    path = wavelet_shards.spool_path(spark, "wavelet-test")
+    wavelet_shards.write(docs, vocabulary("word_bpe_49k.json"), path, shard_tokens=5000)
+    assert wavelet_shards.files(spark, path).count() > 10
+    coder = ChunkEncoder(vocabulary("word_bpe_49k.json"), False)
+    ids = {i: [*np.frombuffer(coder.encode(t), "<u4").tolist(), 2] for i, t in texts.items()}
+    got, at = {r.doc_id: r for r in wavelet_shards.read(spark, path).collect()}, 0
+    for i in sorted(ids):
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids[i]), crc32_of(ids[i]))
+        at += len(ids[i])
+    token = ids[0][0]
+    assert wavelet_shards.counts(spark, path, [token]).first().n == sum(x.count(token) for x in ids.values())
+    assert {(r.doc_id, r.place) for r in wavelet_shards.occurrences(spark, path, token).collect()} == {(i, k) for i, x in ids.items() for k, y in enumerate(x) if y == token}
+
+
+# --- near duplicates and substrings -------------------------------------------------------
+
+
+def shingle_set(t):
+    w = t.encode().lower().split()
+    return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_by_brute_force(spark, seed):
+    texts = noisy(seed, 300)
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+
+
+def test_long_chains_meet(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a bigint, b bigint")
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {101: 100}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_by_brute_force(spark, seed):
+    texts = noisy(seed, 200)
+    words = [t.encode().split() for t in texts]
+    first = {}
+    for i, w in enumerate(words):
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    got = {r.doc_id: r for r in substring_dedup.deduplicated(frame(spark, texts)).collect()}
+    for i, w in enumerate(words):
+        cover = [False] * len(w)
+        for j in range(len(w) - 12):
+            if first[tuple(w[j : j + 13])] < i:
+                cover[j : j + 13] = [True] * 13
+        kept = b" ".join(x for x, c in zip(w, cover, strict=True) if not c)
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), sum(cover), hashlib.sha256(kept).hexdigest())
+
+
+@pytest.mark.parametrize("mode", ["shared", "low", "df"])
+def test_packing_finds_what_is_shared(mode, monkeypatch):
+    import pyarrow as pa
+
+    from lamella.llm import shared_keys
+
+    monkeypatch.setattr(shared_keys, "PER_FLUSH", 300)
+    r = np.random.default_rng(0)
+    texts = {i: np.unique(np.concatenate([r.integers(0, 60, 5), r.integers(0, 1 << 62, 20)]).astype(np.uint64) * np.uint64(2654435761)) for i in range(200)}
+    packing = Packing(mode, 3, 6, cap=4)
+    batches = list(packing.pack((i, 9, k) for i, k in texts.items()))
+    table = pa.Table.from_batches(batches)
+    found = collections.defaultdict(dict)
+    for part in set(table.column("part").to_pylist()):
+        for i, size, keys, dfs in zip(*packing.merge(table.filter(pa.compute.equal(table.column("part"), part))).to_pydict().values(), strict=True):
+            for k, d in zip(np.frombuffer(keys, "<u8").tolist(), dfs, strict=True):
+                found[i][k] = max(d, found[i].get(k, 0))
+    holders = collections.defaultdict(list)
+    for i, keys in texts.items():
+        for k in packing.canonical(keys).tolist():
+            holders[k].append(i)
+    for i, keys in texts.items():
+        want = {k: min(4, len(holders[k])) for k in packing.canonical(keys).tolist() if len(holders[k]) > 1 and (mode != "low" or min(holders[k]) < i)}
+        assert set(found[i]) == set(want)
+        if mode == "df":
+            assert found[i] == want
