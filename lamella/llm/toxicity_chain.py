@@ -78,34 +78,51 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def enriched(rows: np.ndarray, hashed: np.ndarray, y: np.ndarray, keep: int) -> np.ndarray:
-    """The features whose rows have more or fewer positives than chance would give."""
-    total = np.bincount(hashed, minlength=SPACE)
-    positive = np.bincount(hashed, weights=y[rows], minlength=SPACE)
-    share = y.mean()
-    z = (positive - total * share) / np.sqrt(np.maximum(total, 1) * share * (1 - share))
-    z[total < LEAST_ROWS] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:keep]
-    return np.sort(best[np.abs(z[best]) > 4])
-
-
-def matched(hashed: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries are among ``features``, and their places there."""
-    if not len(features):
-        return np.zeros(len(hashed), bool), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(features, hashed), len(features) - 1)
-    hit = features[at] == hashed
-    return hit, at[hit]
-
-
-def fit(rows: np.ndarray, hashed: np.ndarray, dense: np.ndarray, y: np.ndarray, keep: int = KEEP, rounds: int = 400, ridge: float = 1e-3) -> Linear:
-    """Regularised logistic regression by accelerated gradients."""
+@dataclass
+class Entries:
+    """Which labelled rows have which hashed features, one pair each; only passed over in slices."""
+
+    rows: np.ndarray
+    hashed: np.ndarray
+
+    def slices(self, size: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for start in range(0, len(self.rows), size):
+            yield self.rows[start : start + size], self.hashed[start : start + size]
+
+    def enriched(self, y: np.ndarray, learn: np.ndarray, keep: int) -> np.ndarray:
+        """The features whose rows (of ``learn``) have more or fewer positives than chance would give."""
+        total, positive = np.zeros(SPACE, np.int32), np.zeros(SPACE, np.int32)
+        for rows, hashed in self.slices():
+            total += np.bincount(hashed[learn[rows]], minlength=SPACE).astype(np.int32)
+            positive += np.bincount(hashed[learn[rows] & (y[rows] > 0)], minlength=SPACE).astype(np.int32)
+        share = y[learn].mean()
+        often = np.flatnonzero(total >= LEAST_ROWS)
+        n = total[often]
+        z = np.abs(positive[often] - n * share) / np.sqrt(n * share * (1 - share))
+        best = np.argsort(-z, kind="stable")[:keep]
+        return often[np.sort(best[z[best] > 4])]
+
+    def matched(self, features: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column of ``features``) pairs; rows are numbered within ``some``."""
+        table = np.full(SPACE, -1, np.int32)
+        table[features] = np.arange(len(features))
+        place = np.cumsum(some) - 1
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        for rows, hashed in self.slices():
+            columns = table[hashed]
+            hit = (columns >= 0) & some[rows]
+            found.append((place[rows[hit]], columns[hit]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def fit(entries: Entries, dense: np.ndarray, y: np.ndarray, learn: np.ndarray, keep: int = KEEP, rounds: int = 400, ridge: float = 1e-3) -> Linear:
+    """Regularised logistic regression on the rows of ``learn`` by accelerated gradients."""
+    all_y, dense, y = y, dense[learn], y[learn]
     if not len(y) or y.min() == y.max():
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(dense.shape[1]), float(np.log(p / (1 - p))))
-    features = enriched(rows, hashed, y, keep)
-    hit, columns = matched(hashed, features)
-    rows = rows[hit]
+    features = entries.enriched(all_y, learn, keep)
+    rows, columns = entries.matched(features, learn)
     n, k = len(y), len(features)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     theta = np.zeros(k + dense.shape[1] + 1)
@@ -160,7 +177,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[at]] + below) / 2)
 
 
-def train(rows: np.ndarray, hashed: np.ndarray, dense: np.ndarray, folds: np.ndarray, labels: np.ndarray, names: tuple[str, ...]) -> Chain:
+def train(entries: Entries, dense: np.ndarray, folds: np.ndarray, labels: np.ndarray, names: tuple[str, ...]) -> Chain:
     """Fit the chain: category by category, with out-of-fold probabilities of the earlier ones."""
     models, thresholds = [], []
     known = dense
@@ -168,19 +185,11 @@ def train(rows: np.ndarray, hashed: np.ndarray, dense: np.ndarray, folds: np.nda
         y = labels[:, k].astype(float)
         out = np.zeros(len(y))
         for fold in range(FOLDS):
-            learn, test = np.flatnonzero(folds != fold), np.flatnonzero(folds == fold)
-            if not len(test):
-                continue
-            place = np.full(len(y), -1)
-            place[learn] = np.arange(len(learn))
-            inside = place[rows] >= 0
-            model = fit(place[rows[inside]], hashed[inside], known[learn], y[learn])
-            place[:] = -1
-            place[test] = np.arange(len(test))
-            inside = place[rows] >= 0
-            hit, columns = matched(hashed[inside], model.features)
-            out[test] = model.score(place[rows[inside]][hit], columns, known[test])
-        models.append(fit(rows, hashed, known, y))
+            test = folds == fold
+            if test.any():
+                model = fit(entries, known, y, ~test)
+                out[test] = model.score(*entries.matched(model.features, test), known[test])
+        models.append(fit(entries, known, y, np.ones(len(y), bool)))
         thresholds.append(best_threshold(out, y))
         known = np.column_stack([known, out])
     return Chain(names, models, thresholds)
@@ -212,17 +221,22 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAM
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     rows = labelled_sample(docs, labels, chain, sample).mapInArrow(featurise, "doc bigint, labels binary, dense binary, hashed binary")
-    got = rows.toArrow().to_pydict()
+    got = rows.toArrow()
+    hashes = got.column("hashed")
+    got = got.drop_columns("hashed").to_pydict()
     once = {d: i for i, d in enumerate(got["doc"])}  # repeated documents count once
     keep = sorted(once.values(), key=lambda i: got["doc"][i])
-    parts = [np.frombuffer(got["hashed"][i], np.uint32) for i in keep]
-    number = np.repeat(np.arange(len(keep)), [len(p) for p in parts])
-    hashed = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+    sizes = [len(hashes[i].as_buffer()) // 4 for i in keep]
+    hashed = np.empty(sum(sizes), np.int32)
+    for i, n, end in zip(keep, sizes, np.cumsum(sizes), strict=True):
+        hashed[end - n : end] = np.frombuffer(hashes[i].as_buffer(), np.int32)
+    del hashes, rows
+    entries = Entries(np.repeat(np.arange(len(keep), dtype=np.int32), sizes), hashed)
     dense = np.array([np.frombuffer(got["dense"][i]) for i in keep]).reshape(-1, DENSE)
     y = np.array([list(got["labels"][i]) for i in keep]).reshape(-1, len(chain))
     ids = np.array([got["doc"][i] for i in keep], np.int64)
     folds = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % FOLDS
-    return train(number, hashed, dense, folds, y, tuple(n for n, _ in chain))
+    return train(entries, dense, folds, y, tuple(n for n, _ in chain))
 
 
 def probabilities(docs: DataFrame, model: Chain) -> DataFrame:

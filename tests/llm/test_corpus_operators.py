@@ -86,7 +86,7 @@ def test_later_models_see_earlier_probabilities():
     y = np.column_stack([r.random(n) < 0.5, np.zeros(n)])
     y[:, 1] = y[:, 0]
     rows, hashed = np.flatnonzero(y[:, 0]), np.full(int(y[:, 0].sum()), 7)
-    chain = toxicity_chain.train(rows, hashed, np.zeros((n, 1)), np.arange(n) % 5, y.astype(int), ("a", "b"))
+    chain = toxicity_chain.train(toxicity_chain.Entries(rows, hashed), np.zeros((n, 1)), np.arange(n) % 5, y.astype(int), ("a", "b"))
     assert len(chain.models[1].dense) == 2 and chain.models[1].dense[1] > 0
 
 
