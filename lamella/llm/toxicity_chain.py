@@ -10,7 +10,7 @@ Features are the presence of words (lower case), of word beginnings (``STEMS``
 characters, for languages that compound), and of coarse shares of the text (upper case,
 symbols, repeated words). Each model keeps the features that are enriched in its
 category (``keep`` at most), which bounds its size whatever the vocabulary; the weights are
-fitted by regularised logistic regression.
+fitted by regularised logistic regression (limited-memory BFGS).
 
 The fit uses at most ``sample`` labelled documents, those with the smallest hash of
 their doc_id (a documented bound); their features come to the driver, where the models
@@ -26,7 +26,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,8 +115,40 @@ class Entries:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def fit(entries: Entries, dense: np.ndarray, y: np.ndarray, learn: np.ndarray, keep: int = KEEP, rounds: int = 400, ridge: float = 1e-3) -> Linear:
-    """Regularised logistic regression on the rows of ``learn`` by accelerated gradients."""
+def minimise(value: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 100, memory: int = 10, least: float = 1e-5) -> np.ndarray:
+    """Limited-memory BFGS for a smooth convex function; ``value`` gives the function and its gradient.
+
+    Ends when a round lowers the function by less than ``least`` of it.
+    """
+    loss, g = value(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        way, shares_of = -g, []
+        for s, y, r in reversed(past):
+            shares_of.append(r * (s @ way))
+            way = way - shares_of[-1] * y
+        way = way / (past[-1][2] * (past[-1][1] @ past[-1][1])) if past else way / max(1.0, float(np.linalg.norm(g)))
+        for (s, y, r), share in zip(past, reversed(shares_of), strict=True):
+            way = way + (share - r * (y @ way)) * s
+        step, slope = 1.0, float(g @ way)
+        after, g_after = value(x + way)
+        while after > loss + 1e-4 * step * slope and step > 1e-8:
+            step /= 2
+            after, g_after = value(x + step * way)
+        if after >= loss:
+            break
+        s, y = step * way, g_after - g
+        if s @ y > 1e-12:
+            past = [*past[-memory + 1 :], (s, y, 1 / float(s @ y))]
+        x, small = x + s, loss - after < least * loss
+        loss, g = after, g_after
+        if small:
+            break
+    return x
+
+
+def fit(entries: Entries, dense: np.ndarray, y: np.ndarray, learn: np.ndarray, keep: int = KEEP, ridge: float = 1e-3) -> Linear:
+    """Regularised logistic regression on the rows of ``learn``."""
     all_y, dense, y = y, dense[learn], y[learn]
     if not len(y) or y.min() == y.max():
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
@@ -127,11 +159,8 @@ def fit(entries: Entries, dense: np.ndarray, y: np.ndarray, learn: np.ndarray, k
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     theta = np.zeros(k + dense.shape[1] + 1)
     theta[-1] = -1.0
-    ahead, momentum = theta.copy(), 1.0
-    per_row = np.bincount(rows, minlength=n)
-    step = 4.0 / ((weight * (1 + per_row + (dense**2).sum(axis=1))).max() + ridge) * 8
 
-    def gradient(t: np.ndarray) -> tuple[float, np.ndarray]:
+    def value(t: np.ndarray) -> tuple[float, np.ndarray]:
         z = np.bincount(rows, weights=t[:k][columns], minlength=n) + dense @ t[k:-1] + t[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         r = weight * (p - y) / n
@@ -140,18 +169,7 @@ def fit(entries: Entries, dense: np.ndarray, y: np.ndarray, learn: np.ndarray, k
         loss = float((weight * np.logaddexp(0, np.where(y > 0, -z, z))).mean() + ridge / 20 * (t[:-1] ** 2).sum())
         return loss, g
 
-    size = 64.0
-    for _ in range(rounds):
-        loss, g = gradient(ahead)
-        while size > step:
-            after = ahead - size * g
-            if gradient(after)[0] <= loss - size / 2 * float(g @ g):
-                break
-            size /= 2
-        after = ahead - size * g
-        grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        ahead = after + (momentum - 1) / grown * (after - theta)
-        theta, momentum = after, grown
+    theta = minimise(value, theta)
     return Linear(features, theta[:k], theta[k:-1], float(theta[-1]))
 
 
