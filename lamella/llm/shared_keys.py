@@ -8,6 +8,9 @@ than a few entries per task to the group that it falls into. The groups are key
 of about ``PER_RANGE`` entries.
 
 Texts are told apart by an identity, a whole number; texts with one identity count once.
+So an identity must stand for one content (such as its hash). Where the order of texts
+matters ("low"), each has a rank besides, which several identities may share: a key is low
+for those with a rank above its least one. Of the least rank in a task all entries are sent.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ PER_RANGE = 1 << 20
 #: An identity for entries that stand for many texts.
 MANY = np.iinfo(np.int64).min
 
-PACKED = "part int, kind int, keys binary, ids binary, sizes binary, counts binary, dfs binary"
-PACKED_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32())] + [(n, pa.binary()) for n in ("keys", "ids", "sizes", "counts", "dfs")])
+PACKED = "part int, kind int, keys binary, ids binary, ranks binary, sizes binary, counts binary, dfs binary"
+PACKED_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32())] + [(n, pa.binary()) for n in ("keys", "ids", "ranks", "sizes", "counts", "dfs")])
 SHARED = "identity bigint, size int, keys binary, dfs binary"
 SHARED_ARROW = pa.schema([("identity", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("dfs", pa.binary())])
 ENTRIES, MARKS, SETTLED = 0, 1, 2
 
-Text = tuple[int, int, np.ndarray]
+#: identity, size, keys; in "low" mode also the rank, where it is not the identity.
+Text = tuple[int, int, np.ndarray] | tuple[int, int, np.ndarray, int]
 
 
 def ranges_for(keys: int) -> int:
@@ -56,7 +60,7 @@ def by_identity(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dfs: np.nd
 
 class Packing:
     """``mode``: "shared" finds keys of two identities or more; "low" those that a smaller
-    identity has too; "df" also tells in how many identities a key is, up to ``cap``."""
+    rank has too; "df" also tells in how many identities a key is, up to ``cap``."""
 
     def __init__(self, mode: str, bits: int, key_bytes: int, cap: int = 32) -> None:
         key_bytes = key_bytes if bits + 8 * key_bytes <= 64 else 8
@@ -80,11 +84,11 @@ class Packing:
         return out.view("<u8").ravel()
 
     def pack(self, texts: Iterable[Text]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[int, np.ndarray]] = {}
+        held: dict[int, tuple[int, np.ndarray, int]] = {}
         total = 0
-        for identity, size, keys in texts:
+        for identity, size, keys, *rank in texts:
             if identity not in held:
-                held[identity] = size, keys
+                held[identity] = size, keys, rank[0] if rank else identity
                 total += len(keys)
             if total >= PER_FLUSH:
                 yield from self._flush(held)
@@ -92,8 +96,9 @@ class Packing:
         if total:
             yield from self._flush(held)
 
-    def _flush(self, held: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        names = np.array(sorted(held), np.int64)  # ascending, so the first text of a key has the smallest identity
+    def _flush(self, held: dict[int, tuple[int, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+        names = np.array(sorted(held, key=lambda i: (held[i][2], i)), np.int64)  # ascending, so the first text of a key has the smallest rank
+        ranks = np.array([held[i][2] for i in names.tolist()], np.int64)
         sizes = np.array([held[i][0] for i in names.tolist()], np.int32)
         lengths = [len(held[i][1]) for i in names.tolist()]
         keys = self.canonical(np.concatenate([held[i][1] for i in names.tolist()]))
@@ -104,8 +109,9 @@ class Packing:
         starts = np.flatnonzero(first)
         counts = np.diff(np.append(starts, len(keys)))
         many = np.repeat(counts >= self.local, counts)
-        settled = many & ~first if self.mode == "low" else many
-        sent = ~many if self.mode == "df" else ~many | first
+        least = ranks[text] == np.repeat(ranks[text[starts]], counts) if self.mode == "low" else first
+        settled = many & ~least if self.mode == "low" else many
+        sent = ~many if self.mode == "df" else ~many | least
         rows: list[list] = []
         parts = self.part_of(keys)
         if settled.any():
@@ -114,18 +120,18 @@ class Packing:
             ids, spans, raw, freq, size = [], [], [], [], []
             for i, n, k, f in by_identity(names[text[settled]], sizes[text[settled]], keys[settled], dfs):
                 ids.append(i), size.append(n), spans.append(len(f)), raw.append(k), freq.append(f)
-            rows.append([spread, SETTLED, b"".join(raw), np.array(ids, "<i8").tobytes(), np.array(size, "<i4").tobytes(), np.array(spans, "<u4").tobytes(), b"".join(freq)])
+            rows.append([spread, SETTLED, b"".join(raw), np.array(ids, "<i8").tobytes(), b"", np.array(size, "<i4").tobytes(), np.array(spans, "<u4").tobytes(), b"".join(freq)])
         if self.mode == "df" and many.any():
             marked, of = keys[many & first], parts[many & first]
             for p in np.unique(of).tolist():
-                rows.append([p, MARKS, self._narrow(marked[of == p]), b"", b"", b"", b""])
+                rows.append([p, MARKS, self._narrow(marked[of == p]), b"", b"", b"", b"", b""])
         keys, text, parts = keys[sent], text[sent], parts[sent]
         # Keys are sorted, so parts are runs; within a part, entries go by text.
         edges = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else np.zeros(0, np.int64)
         for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(parts)], strict=bool(len(edges))):
             turn = np.argsort(text[s:e], kind="stable")
             who, times = np.unique(text[s:e], return_counts=True)
-            rows.append([int(parts[s]), ENTRIES, self._narrow(keys[s:e][turn]), names[who].astype("<i8").tobytes(), sizes[who].astype("<i4").tobytes(), times.astype("<u4").tobytes(), b""])
+            rows.append([int(parts[s]), ENTRIES, self._narrow(keys[s:e][turn]), names[who].astype("<i8").tobytes(), ranks[who].astype("<i8").tobytes() if self.mode == "low" else b"", sizes[who].astype("<i4").tobytes(), times.astype("<u4").tobytes(), b""])
         step = max(1, len(rows) // 8)
         for s in range(0, len(rows), step):
             yield batch(list(zip(*rows[s : s + step], strict=True)), PACKED_ARROW)
@@ -133,10 +139,10 @@ class Packing:
     def merge(self, table: pa.Table) -> pa.Table:
         """All packed rows of one key range: the shared keys of each identity."""
         out: list[tuple] = []
-        keys, ids, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        keys, ids, ranks, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         part = table.column("part")[0].as_py()
         columns = [table.column(n).to_pylist() for n in PACKED_ARROW.names[1:]]
-        for kind, raw, who, size, count, dfs in zip(*columns, strict=True):
+        for kind, raw, who, rank, size, count, dfs in zip(*columns, strict=True):
             if kind == SETTLED:
                 at = 0
                 for i, n, c in zip(np.frombuffer(who, "<i8").tolist(), np.frombuffer(size, "<i4").tolist(), np.frombuffer(count, "<u4").tolist(), strict=True):
@@ -146,24 +152,27 @@ class Packing:
             keys.append(self._widen(raw))
             times = np.frombuffer(count, "<u4") if kind == ENTRIES else 1
             ids.append(np.repeat(np.frombuffer(who, "<i8"), times) if kind == ENTRIES else np.full(len(keys[-1]), MANY))
+            if self.mode == "low":
+                ranks.append(np.repeat(np.frombuffer(rank, "<i8"), times))
             sizes.append(np.repeat(np.frombuffer(size, "<i4"), times) if kind == ENTRIES else np.zeros(len(keys[-1]), np.int32))
         k, i, n = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
+        r = np.concatenate(ranks) if self.mode == "low" else i
         order = np.argsort(k, kind="stable")
         k = k[order]
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(k)))
         again = np.repeat(counts > 1, counts)
-        k, i, n = k[again], i[order][again], n[order][again]
-        order = np.lexsort((i, k))
-        k, i, n = k[order], i[order], n[order]
+        k, i, n, r = k[again], i[order][again], n[order][again], r[order][again]
+        order = np.lexsort((i, r, k) if self.mode == "low" else (i, k))
+        k, i, n, r = k[order], i[order], n[order], r[order]
         fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (i[1:] == MANY)]) if len(k) else np.zeros(0, bool)
-        k, i, n = k[fresh], i[fresh], n[fresh]
+        k, i, n, r = k[fresh], i[fresh], n[fresh], r[fresh]
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(k)))
         df = np.add.reduceat(np.where(i == MANY, self.cap, 1), starts) if len(k) else counts
         keep = np.repeat(df > 1, counts) & (i != MANY)
         if self.mode == "low":
-            keep &= np.repeat(i[starts], counts) < i if len(k) else keep
+            keep &= np.repeat(r[starts], counts) < r if len(k) else keep
         df = np.minimum(np.repeat(df, counts), self.cap)
         full = k | (np.uint64(part) << np.uint64(8 * self.key_bytes)) if self.key_bytes < 8 else k
         out += by_identity(i[keep], n[keep], full[keep], df[keep])

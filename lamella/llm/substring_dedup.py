@@ -13,8 +13,9 @@ whole. Each repeated window is settled by the smallest doc_id that has it (one e
 task), never by pairs of its holders.
 
 Special rows: null and empty texts have no words; fewer than 13 words have no window and
-keep all; rows of one doc_id and text give equal results and do not repeat one another; a
-null doc_id counts as larger than all others. Extra columns are ignored. An empty table
+keep all; rows of one doc_id do not repeat one another, whether their texts are equal or
+not; a null doc_id counts as larger than all others, and rows without one do not repeat one
+another. Extra columns are ignored. An empty table
 gives an empty result.
 """
 
@@ -72,21 +73,21 @@ def spans(cover: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-FACTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("identity", pa.int64()), ("words_sha256", pa.string())])
+FACTS_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("identity", pa.int64()), ("words_sha256", pa.string())])
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, identity, words_sha256 of each document; stored."""
+    """doc_id, mark (of the text as it stands), n_words, identity, words_sha256 of each document; stored."""
 
     def measure(batches):
         def rows() -> Iterator[tuple]:
-            for doc_id, text in rows_of(batches, "doc_id", "text"):
+            for doc_id, mark, text in rows_of(batches, "doc_id", "mark", "text"):
                 words = text.encode("utf-8").split()
-                yield doc_id, len(words), identity(words), hashlib.sha256(b" ".join(words)).hexdigest()
+                yield doc_id, mark, len(words), identity(words), hashlib.sha256(b" ".join(words)).hexdigest()
 
         yield from out_batches(rows(), FACTS_ARROW)
 
-    return spool(_texts(docs).mapInArrow(measure, "doc_id bigint, n_words bigint, identity bigint, words_sha256 string"), "substring-facts")
+    return spool(_texts(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(measure, "doc_id bigint, mark bigint, n_words bigint, identity bigint, words_sha256 string"), "substring-facts")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -94,7 +95,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def seeded(docs: DataFrame, rows: DataFrame, total: int) -> DataFrame:
-    """doc_id, text, identity, anchors of each class that shares an anchor with another; stored."""
+    """doc_id, text, identity, anchors of each class that shares an anchor with another; stored.
+
+    A class's text is found by its owner's doc_id and the text's mark, since one doc_id, or
+    none, may have many texts.
+    """
 
     def texts(batches):
         for (text,) in rows_of(batches, "text"):
@@ -103,26 +108,26 @@ def seeded(docs: DataFrame, rows: DataFrame, total: int) -> DataFrame:
                 yield identity(words), len(words), np.unique(windows(words)[1])
 
     found = gathered(shared(_texts(docs), texts, Packing("shared", ranges_for(total // 5), 6)))
-    owners = rows.where(F.col("n_words") >= WINDOW).groupBy("identity").agg(F.min("doc_id").alias("owner"))
-    wanted = spool(found.join(owners, "identity").select("owner", F.col("identity"), "lists"), "substring-anchors")
-    texts_of = _texts(docs).join(wanted, F.col("doc_id") == F.col("owner"))
+    owners = rows.where(F.col("n_words") >= WINDOW).groupBy("identity").agg(F.min(F.struct("doc_id", "mark")).alias("owner"))
+    wanted = spool(found.join(owners, "identity").select(F.col("owner.doc_id").alias("owner"), F.col("owner.mark").alias("mark"), F.col("identity"), "lists"), "substring-anchors")
+    texts_of = _texts(docs).join(wanted, (F.col("doc_id") == F.col("owner")) & (F.xxhash64("text") == F.col("mark")))
     return spool(texts_of.select("doc_id", "text", "identity", "lists"), "substring-seeded")
 
 
 def repeats(seeds: DataFrame, total: int) -> DataFrame:
-    """doc_id, lists: the windows (hashes) of each class that a smaller doc_id has too; stored."""
+    """who, n, lists: the windows (hashes) of each class that a smaller doc_id has too; stored."""
     anchors = Packing("shared", ranges_for(total // 5), 6)
 
     def texts(batches):
         for doc_id, text, who, lists in rows_of(batches, "doc_id", "text", "identity", "lists"):
             words = text.encode("utf-8").split()
-            if identity(words) == who:  # another text may have the same doc_id
+            if identity(words) == who:  # another text may have the same doc_id and mark
                 whole, anchor = windows(words)
                 near = whole[among(anchors.canonical(anchor), keys_of(lists)[0])]
-                yield doc_id, len(words), np.unique(near)
+                yield who, len(words), np.unique(near), doc_id
 
     found = shared(seeds, texts, Packing("low", ranges_for(total // 8), 8))
-    return spool(gathered(found).select(F.col("identity").alias("owner"), F.col("size").alias("n"), F.col("lists").alias("repeated")), "substring-repeats")
+    return spool(gathered(found).select(F.col("identity").alias("who"), F.col("size").alias("n"), F.col("lists").alias("repeated")), "substring-repeats")
 
 
 CUT = "doc_id bigint, identity bigint, n_removed bigint, kept_sha256 string, kept string, repeats array<struct<start:int,end:int>>"
@@ -144,7 +149,7 @@ def cut(seeds: DataFrame, found: DataFrame, texts: bool) -> DataFrame:
 
         yield from out_batches(rows(), CUT_ARROW, size=512)
 
-    held = seeds.select("doc_id", "text", "identity").join(found, F.col("doc_id") == F.col("owner"))
+    held = seeds.select("doc_id", "text", "identity").join(found, F.col("identity") == F.col("who"))
     return held.select("doc_id", "text", "identity", "n", "repeated").mapInArrow(keep, CUT)
 
 

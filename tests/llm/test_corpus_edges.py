@@ -110,6 +110,19 @@ def test_substring(docs):
     assert got[9].n_removed == 0 and got[0].n_words == 0 and got[4].n_removed == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_substring_texts_that_share_a_doc_id(spark, parts):
+    p, q, r, s = (" ".join(f"{c}{i}" for i in range(20)) for c in "pqrs")
+    texts = [(1, p + " one"), (2, q + " two"), (5, p + " five"), (5, r + " other"), (5, q + " " + s)]
+    texts += [(7, r + " seven"), (8, s + " eight"), (None, p + " nil"), (None, q + " none"), (None, r + " null")]
+    alone = " ".join(f"u{i}" for i in range(20))
+    texts += [(None, alone + " a"), (None, alone + " b"), (9, alone[:-3] + "x y"), (9, alone[:-3] + "z w")]
+    got = substring_dedup.deduplicated(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(parts)).collect()
+    found = sorted((r.doc_id or 99, r.n_words, r.n_removed, r.kept or "") for r in got)
+    kept = {(5, 21, 20, "five"), (5, 21, 0, ""), (5, 40, 20, s), (7, 21, 20, "seven"), (8, 21, 20, "eight"), (99, 21, 20, "nil"), (99, 21, 20, "none"), (99, 21, 20, "null")}
+    assert found == sorted([(1, 21, 0, ""), (2, 21, 0, ""), *kept, (9, 21, 0, ""), (9, 21, 0, ""), (99, 21, 19, "u19 a"), (99, 21, 19, "u19 b")])
+
+
 def test_mixture_takes_all_of_a_large_budget(docs):
     aim = source_mixing.Mixture(budget=(1, 1), max_epochs=1)
     got = source_mixing.select_documents(docs, aim)
