@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import paths as P
 from lamella.operators.layout import record_size
+from lamella.plans.spool import spool
 
 
 def nodes(leaves: DataFrame, path: str) -> DataFrame:
@@ -35,14 +36,21 @@ def subtree_totals(leaves: DataFrame, path: str, size: str) -> DataFrame:
 
 
 def walked(spark: SparkSession, tree: DataFrame) -> DataFrame:
-    """path, depth of each node, found by walking down from the top directories."""
-    tree.createOrReplaceTempView("__tree")
-    return spark.sql("""
-        WITH RECURSIVE walk(path, depth) AS (
-            SELECT path, 1 FROM __tree WHERE parent = ''
-            UNION ALL
-            SELECT t.path, w.depth + 1 FROM walk w JOIN __tree t ON t.parent = w.path)
-        SELECT path, depth FROM walk""")
+    """path, depth of each node that a walk down from the top directories reaches.
+
+    Each round doubles the steps that a node has gone up towards the top, so that the rounds
+    grow with the logarithm of the deepest level and no limit on rows or levels applies.
+    Nodes below a missing parent, or on a loop, are not reached.
+    """
+    now = spool(tree.select("path", F.col("parent").alias("up"), F.lit(1).alias("depth")), "walk")
+    for _ in range(now.count().bit_length()):
+        going = now.where("up <> ''")
+        if going.isEmpty():
+            break
+        above = now.select(F.col("path").alias("__at"), F.col("up").alias("__up"), F.col("depth").alias("__more"))
+        gone = going.join(above, F.col("up") == F.col("__at")).select("path", F.col("__up").alias("up"), (F.col("depth") + F.col("__more")).alias("depth"))
+        now = spool(now.where("up = ''").unionByName(gone), "walk")
+    return now.where("up = ''").select("path", "depth")
 
 
 def lookup(tree: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -31,6 +31,24 @@ def test_ordered_total_of_nothing(spark):
     assert ordered_total(spark.createDataFrame([], "k bigint, v bigint"), ["k"], F.col("v"), "at").count() == 0
 
 
+def test_walk_of_a_deep_tree(spark):
+    deep = [("/".join(["d"] * n), "/".join(["d"] * (n - 1))) for n in range(1, 151)]
+    rows = [*deep, ("wide", ""), ("lost/x", "lost"), ("lost/x/y", "lost/x"), ("loop", "round"), ("round", "loop")]
+    got = tree.walked(spark, spark.createDataFrame(rows, "path string, parent string")).collect()
+    assert sorted((r.path, r.depth) for r in got) == sorted([*((p, n) for n, (p, _) in enumerate(deep, 1)), ("wide", 1)])
+    assert tree.walked(spark, spark.createDataFrame([], "path string, parent string")).count() == 0
+
+
+def test_walk_passes_the_recursion_limits(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        rows = [(f"n{i}", "" if i < 20 else f"n{i % 20}") for i in range(60)]
+        got = tree.walked(spark, spark.createDataFrame(rows, "path string, parent string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert sorted((r.path, r.depth) for r in got) == sorted((p, 1 if not up else 2) for p, up in rows)
+
+
 def test_device_table(spark):
     lines = spark.createDataFrame([(x,) for x in DEVICES.splitlines()], "value string")
     rows = devices.parse(lines)
