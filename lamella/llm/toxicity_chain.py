@@ -7,8 +7,8 @@ doc_id, and each row's probability comes from models fitted on the other folds,
 later model never learns from an over-confident earlier one.
 
 Features are the presence of words (lower case), of word beginnings (``STEMS``
-characters, for languages that compound), and of coarse shares of the text (upper case,
-symbols, repeated words). Each model keeps the features that are enriched in its
+characters, for languages that compound), and of four coarse measures of the text (upper
+case, symbols, repeated words, length). Each model keeps the features that are enriched in its
 category (``keep`` at most), which bounds its size whatever the vocabulary; the weights are
 fitted by regularised logistic regression (limited-memory BFGS).
 
@@ -26,8 +26,10 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +58,23 @@ def word_features(word: str) -> tuple[int, ...]:
     return (hash_("w:" + word) % SPACE, *(hash_(f"p:{word[:n]}") % SPACE for n in STEMS if len(word) > n))
 
 
+@cache
+def upper_case() -> np.ndarray:
+    """Whether each code point is an upper case letter."""
+    return np.fromiter((chr(c).isupper() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def capitals(text: str) -> int:
+    """How many of all characters are upper case letters."""
+    return int(np.count_nonzero(upper_case()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]))
+
+
 def shares(text: str, words: list[str]) -> tuple[float, ...]:
-    """Upper case letters, symbols, repeated words and long lines, each as a share of the text."""
+    """Upper case letters and symbols as shares of the characters, repeated words as a share of the
+    words, and the number of words as a share of 20,000 (1 at most)."""
     n = max(1, len(text))
     spaced = sum(map(len, words))
-    return (sum(map(str.isupper, text[::7])) * 7 / n, 1 - (spaced + text.count(" ")) / n, 1 - len(set(words)) / max(1, len(words)), min(1.0, len(words) / 20000))
+    return (capitals(text) / n, 1 - (spaced + text.count(" ")) / n, 1 - len(set(words)) / max(1, len(words)), min(1.0, len(words) / 20000))
 
 
 @dataclass

@@ -134,6 +134,12 @@ def test_empty_mixture(none):
     assert source_mixing.mixture(none).count() == 0
 
 
+def test_capitals_are_counted_in_the_whole_text():
+    for text in ("", "A", "aB", "x" * 6 + "ABCDEF", "Ünd ÄÖ \U00010400 \ud800 ǅ", "aB" * 50000):
+        share = toxicity_chain.shares(text, text.split())[0]
+        assert share == sum(c.isupper() for c in text) / max(1, len(text))
+
+
 def test_reject_toxic_keeps_columns(docs, labels, none):
     assert toxicity_chain.reject_toxic(docs, labels).columns == docs.columns
     assert toxicity_chain.reject_toxic(docs, labels.limit(0)).count() == len(rows())
