@@ -18,8 +18,9 @@ their pairs, and no link between two components is lost.
 
 Special rows: null and empty texts, or those without words, have empty sets and link with
 nothing; fewer than five words are one shingle; repeated rows are one class; a null doc_id
-is never the smallest of a component unless it has no other. Extra columns are kept by
-``drop_near_duplicates``. An empty table gives an empty result. Shingles are compared by
+is never the smallest of a component unless it has no other. ``drop_near_duplicates`` keeps
+exactly one row of each component (of its smallest doc_id, nulls last, the least text hash,
+then the least row hash) and every row with an empty set; extra columns are kept. An empty table gives an empty result. Shingles are compared by
 64-bit hashes, of which at least ``bits`` + 48 are kept.
 """
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.common import out_batches, rows_of, whole_text
@@ -69,19 +70,28 @@ def least(n: np.ndarray | int, percent: int = PERCENT):
 SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("identity", pa.int64())])
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, identity (null for an empty set) of each document; stored."""
+#: Two hashes of the text as it stands, 128 bits.
+MARKS = {"mark": lambda: F.xxhash64(whole_text()), "mark2": lambda: F.xxhash64(F.lit(1), whole_text())}
+
+
+def sets(docs: DataFrame, marked: bool = False) -> DataFrame:
+    """doc_id, n_shingles, identity (null for an empty set) of each document; stored.
+
+    With ``marked`` also ``MARKS``, which tell the texts of one doc_id apart.
+    """
+    names = list(MARKS) if marked else []
+    schema = pa.schema([*SETS_ARROW, *((c, pa.int64()) for c in names)])
 
     def measure(batches):
         def rows() -> Iterator[tuple]:
-            for doc_id, text in rows_of(batches, "doc_id", "text"):
+            for doc_id, text, *marks in rows_of(batches, "doc_id", "text", *names):
                 keys = shingles(text)
-                yield doc_id, len(keys), identity(keys) if len(keys) else None
+                yield doc_id, len(keys), identity(keys) if len(keys) else None, *marks
 
-        yield from out_batches(rows(), SETS_ARROW)
+        yield from out_batches(rows(), schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return spool(rows.mapInArrow(measure, "doc_id bigint, n_shingles bigint, identity bigint"), "shingle-sets")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), *(MARKS[c]().alias(c) for c in names))
+    return spool(rows.mapInArrow(measure, ", ".join(["doc_id bigint, n_shingles bigint, identity bigint", *(f"{c} bigint" for c in names)])), "shingle-sets")
 
 
 def prefix(keys: np.ndarray, dfs: np.ndarray, n: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
@@ -225,9 +235,8 @@ def cross_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return counts.where("matches >= need").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
-    rows = sets(docs)
+def linked_classes(docs: DataFrame, rows: DataFrame, first: Column, least: str) -> DataFrame:
+    """__who, n_classes and, as ``least``, the least ``first`` of its component for each class; stored."""
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     known = classes(docs, total)
     lists = postings(known)
@@ -235,18 +244,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links)
     links = links.unionByName(verified(cross_pairs(lists, roots), known))
     roots = components(links)
-    firsts = rows.where("identity is not null").groupBy("identity").agg(F.min("doc_id").alias("first"))
+    firsts = rows.where("identity is not null").groupBy("identity").agg(F.min(first).alias("first"))
     rooted = firsts.join(roots, firsts["identity"] == roots["node"], "left").select("identity", "first", F.coalesce("root", "identity").alias("root"))
     lowest = spool(rooted, "shingle-roots")
-    least_id = lowest.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n_classes"))
-    named = lowest.join(least_id, "root").select(F.col("identity").alias("__who"), "component_id", "n_classes")
-    named = spool(named, "shingle-components")
+    least_id = lowest.groupBy("root").agg(F.min("first").alias(least), F.count(F.lit(1)).alias("n_classes"))
+    named = lowest.join(least_id, "root").select(F.col("identity").alias("__who"), least, "n_classes")
+    return spool(named, "shingle-components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document."""
+    rows = sets(docs)
+    named = linked_classes(docs, rows, F.col("doc_id"), "component_id")
     full = rows.where("identity is not null")
     linked = full.join(named, full["identity"] == named["__who"]).select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(rows.where("identity is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents without those that link to a component with a smaller doc_id; all columns."""
-    dropped = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+    """One document of each component, that with the smallest doc_id, and those without words; all columns.
+
+    Rows are told apart by doc_id and text; only rows that repeat a kept one are numbered.
+    """
+    rows = sets(docs, marked=True).where("identity is not null")
+    turn = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *MARKS)
+    named = linked_classes(docs, rows, turn, "__keep")
+    keyed = rows.join(named, rows["identity"] == named["__who"]).select(turn.alias("__turn"), "__keep")
+    drop = keyed.where("__turn <> __keep").distinct().select(F.col("__turn").alias("__of"), F.lit(True).alias("__gone"))
+    again = keyed.where("__turn = __keep").groupBy("__turn").count().where("count > 1").select(F.col("__turn").alias("__of"), F.lit(False).alias("__gone"))
+    fate = spool(drop.unionByName(again), "shingle-fate")
+    parts = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), **{f"__{c}": hashed() for c, hashed in MARKS.items()}}
+    flat = fate.select(F.col("__of.none").alias("__n"), F.coalesce("__of.doc_id", F.lit(0)).alias("__d"), F.col("__of.mark").alias("__m"), F.col("__of.mark2").alias("__m2"), "__gone")
+    marked = docs.select("*", *(c.alias(n) for n, c in parts.items()))
+    same = (F.col("__none") == F.col("__n")) & (F.col("__id") == F.col("__d")) & (F.col("__mark") == F.col("__m")) & (F.col("__mark2") == F.col("__m2"))
+    repeated = flat.where("not __gone")
+    if repeated.isEmpty():
+        return marked.join(flat, same, "left_anti").select(*docs.columns)
+    known = marked.join(flat, same, "left").where("__gone is null or not __gone")
+    one = Window.partitionBy(*parts).orderBy(F.xxhash64(*docs.columns))
+    more = known.where("not __gone").withColumn("__place", F.row_number().over(one)).where("__place = 1")
+    return known.where("__gone is null").select(*docs.columns).unionByName(more.select(*docs.columns))

@@ -110,6 +110,16 @@ def test_substring(docs):
     assert got[9].n_removed == 0 and got[0].n_words == 0 and got[4].n_removed == 0
 
 
+def test_drop_near_duplicates_keeps_one_row_of_a_component(spark, docs):
+    got = ngram_join.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == [-1, 0, 1, 2, 3, 5, 6, 9, 10, 11]  # the null text has no words
+    p, q, r = (" ".join(f"{c}{i}" for i in range(40)) for c in "pqr")
+    texts = [(1, p), (2, p + " x"), (2, r), (None, p + " y"), (None, q), (None, q + " x"), (None, q), (4, "a b"), (4, "A  b"), (4, "a b"), (None, None), (None, "")]
+    left = ngram_join.drop_near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower().split()[:1]) for r in left) == [(0, []), (0, []), (0, ["q0"]), (1, ["p0"]), (2, ["r0"]), (4, ["a"])]
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_substring_texts_that_share_a_doc_id(spark, parts):
     p, q, r, s = (" ".join(f"{c}{i}" for i in range(20)) for c in "pqrs")
