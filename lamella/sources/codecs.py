@@ -20,6 +20,8 @@ CODECS = [
 ]
 LEAST_SHIFT, MOST_SHIFT, PAGE = 9, 20, 4096
 XZ_MEMORY = 64 << 20
+#: Branch filters that xz can put before its compression.
+BCJ = {"x86": lzma.FILTER_X86, "powerpc": lzma.FILTER_POWERPC, "ia64": lzma.FILTER_IA64, "arm": lzma.FILTER_ARM, "armthumb": lzma.FILTER_ARMTHUMB, "sparc": lzma.FILTER_SPARC}
 
 
 def codec_table(spark: SparkSession) -> DataFrame:
@@ -42,6 +44,9 @@ def _encoder(name: str, level: int | None) -> Callable[[bytes], bytes]:
         return lambda raw: codec.compress(raw, asbytes=True)
     if name == "xz":
         return lambda raw: lzma.compress(raw, format=lzma.FORMAT_XZ, check=lzma.CHECK_CRC32, preset=level)
+    if name.startswith("xz+"):
+        chain = [{"id": BCJ[name[3:]]}, {"id": lzma.FILTER_LZMA2, "preset": lzma.PRESET_DEFAULT if level is None else level}]
+        return lambda raw: lzma.compress(raw, format=lzma.FORMAT_XZ, check=lzma.CHECK_CRC32, filters=chain)
     if name == "zstd":
         import zstandard
 
@@ -55,7 +60,7 @@ def _decoder(name: str) -> Callable[[bytes, int], bytes]:
     if name == "lz4":
         codec = pa.Codec("lz4_raw")
         return lambda raw, n: codec.decompress(raw, decompressed_size=n, asbytes=True)
-    if name == "xz":
+    if name == "xz" or name.startswith("xz+"):
         return lambda raw, n: lzma.LZMADecompressor(memlimit=XZ_MEMORY).decompress(raw)
     if name == "zstd":
         import zstandard
@@ -65,7 +70,10 @@ def _decoder(name: str) -> Callable[[bytes, int], bytes]:
 
 
 def encoded(payload: Column, name: str, level: int | None = None) -> Column:
-    """The payload's blocks, encoded one by one; a block that grows stays grown."""
+    """The payload's blocks, encoded one by one; a block that grows stays grown.
+
+    "xz+x86" and the like put a filter of ``BCJ`` before xz.
+    """
 
     def encode(blocks: pa.Array) -> pa.Array:
         one = _encoder(name, level)
@@ -74,6 +82,12 @@ def encoded(payload: Column, name: str, level: int | None = None) -> Column:
     return F.arrow_udf(encode, "binary")(payload)
 
 
+def candidates(blocks: DataFrame, key: str, payload: str, choices: list[tuple[str, int | None]]) -> DataFrame:
+    """key, codec, ord, len: the real length of each block under each (codec, level)."""
+    tried = [F.struct(F.lit(name).alias("codec"), F.lit(i).alias("ord"), F.octet_length(encoded(F.col(payload), name, level)).cast("bigint").alias("len")) for i, (name, level) in enumerate(choices)]
+    return blocks.select(key, F.inline(F.array(*tried)))
+
+
 def decoded(payload: Column, size: Column, name: str) -> Column:
     """Blocks decoded to ``size`` bytes each; null where a block does not decode to that."""
 

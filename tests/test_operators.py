@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lamella.operators import devices, layout, traces, tree
 from lamella.plans import number_rows, ordered_total
 from lamella.queries import DEVICES
-from lamella.sources import container, text_tables
+from lamella.sources import codecs, container, text_tables
 from lamella.sources.directory import TreeSource
 
 
@@ -49,6 +49,25 @@ def test_walk_passes_the_recursion_limits(spark):
     assert sorted((r.path, r.depth) for r in got) == sorted((p, 1 if not up else 2) for p, up in rows)
 
 
+def test_smallest_real_encoding(spark):
+    import struct
+
+    from lamella.operators import report
+    from lamella.queries import CHOICES
+
+    calls = b"".join(b"\xe8" + struct.pack("<i", 90000 - 5 * i) for i in range(800))
+    blocks = [b"x", b"ab" * 2000, bytes(range(256)) * 16, os.urandom(900), calls, b"the same words again " * 40]
+    rows = spark.createDataFrame(list(enumerate(blocks)), "k bigint, plain binary")
+    got = {r.k: (r.best_length, r.best) for r in report.smallest(codecs.candidates(rows, "k", "plain", CHOICES), "k", "codec", "len", "ord").collect()}
+    for k, raw in enumerate(blocks):
+        lengths = [len(codecs._encoder(name, level)(raw)) for name, level in CHOICES]
+        assert got[k] == (min(lengths), CHOICES[lengths.index(min(lengths))][0])
+    assert got[4][1] == "xz+x86" and len({best for _, best in got.values()}) > 2
+    for name, level in CHOICES:
+        back = rows.select(F.col("plain").eqNullSafe(codecs.decoded(codecs.encoded(F.col("plain"), name, level), F.octet_length("plain"), name)).alias("same"))
+        assert all(r.same for r in back.collect())
+
+
 def test_device_table(spark):
     lines = spark.createDataFrame([(x,) for x in DEVICES.splitlines()], "value string")
     rows = devices.parse(lines)
