@@ -3,8 +3,9 @@
 Three base detectors (assignments, access identifiers, long hex) report every match.
 Three weak detectors (logins, endpoints, blobs of letters and digits) find parts that
 say little alone: they are reported only when complementary parts stand within the same
-scope, ``SCOPE`` code points around them in one text. A login needs a secret, a blob needs
-an identifier or an endpoint, an endpoint needs both an identifier and a secret.
+scope of one text, that is, start within ``SCOPE`` code points of their start. A login needs
+a secret, a blob needs an identifier or an endpoint, an endpoint needs both an identifier
+and a secret.
 
 The scopes are joined as intervals: each text is divided into cells of ``SCOPE`` code
 points, parts of one role are pre-aggregated per cell to their first and last start, and
@@ -27,17 +28,19 @@ from lamella.plans.spool import spool
 
 SCOPE = 256
 
-#: Kind, role, pattern, least length of the whole match, group and its least length.
+#: Kind, role, pattern, least length of the whole match, group and its least length. A blob
+#: also needs a digit (``DIGIT``) anywhere in its match.
 DETECTORS = [
     ("assign", "secret", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 0, 2, 6),
     ("access", "identifier", r"AKIA[A-Z0-9]+", 20, 0, 0),
     ("hex", "secret", r"[0-9a-f]{24,}", 24, 0, 0),
     ("login", "identifier", r"""(?i:user(?:_?name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", 0, 0, 0),
     ("endpoint", "endpoint", r"""(?:https?|wss?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+""", 0, 0, 0),
-    ("blob", "secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,256}[0-9])[A-Za-z0-9+/_-]{20,}={0,2}", 20, 0, 0),
+    ("blob", "secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}", 20, 0, 0),
 ]
 KINDS = [d[0] for d in DETECTORS]
 BASE = 3
+DIGIT = {"blob"}
 
 
 def matches(text: Column, number: int) -> Column:
@@ -45,13 +48,14 @@ def matches(text: Column, number: int) -> Column:
 
     Splitting at the pattern gives the text between the matches, whose lengths place them.
     """
-    _, _, pattern, least, group, group_least = DETECTORS[number]
+    kind, _, pattern, least, group, group_least = DETECTORS[number]
+    digit = (lambda whole: whole.rlike("[0-9]")) if kind in DIGIT else (lambda whole: F.lit(True))
     between = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     each = F.transform(
         F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("whole"), held.alias("held")),
-        lambda m, i: F.struct(F.lit(number).alias("kind"), i.alias("nth"), m["gap"].alias("gap"), F.length(m["whole"]).alias("length"), ((F.length(m["whole"]) >= least) & (F.length(m["held"]) >= group_least)).alias("holds")),
+        lambda m, i: F.struct(F.lit(number).alias("kind"), i.alias("nth"), m["gap"].alias("gap"), F.length(m["whole"]).alias("length"), ((F.length(m["whole"]) >= least) & (F.length(m["held"]) >= group_least) & digit(m["whole"])).alias("holds")),
     )
     return F.when(text.rlike(pattern), each)
 
@@ -76,7 +80,7 @@ def placed(found: DataFrame) -> DataFrame:
 
 
 def apart(parts: DataFrame) -> DataFrame:
-    """Without blobs that overlap a base match or an endpoint, and endpoints or logins within a base match."""
+    """Without blobs that overlap a base match or an endpoint. Logins and endpoints stay, even within a base match."""
     firm = F.col("kind") < BASE
     solid = firm | (F.col("kind") == KINDS.index("endpoint"))
     ahead = Window.partitionBy("key").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
