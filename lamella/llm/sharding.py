@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from lamella.plans.numbering import number_rows
 from lamella.plans.spool import spool
 
-#: Hash bits used for u in (0, 1): exact in a double.
-BITS = 53
+#: Hash bits used for u in (0, 1): with a half added they are still exact in a double, so u is never 0 or 1.
+BITS = 52
 
 
 def score(key: Column, shard: Column, weight: Column) -> Column:
