@@ -23,14 +23,15 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")
 ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z|\x00")
 #: Chunks that keep their tokens between two line ends.
 FIRM = re.compile(r" ?\S(?:.*\S)?\Z", re.S)
-#: A word and the ASCII punctuation after it, which always are tokens of their own.
-TAIL = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-^`{-~]+)\Z")
+#: A word of Latin letters and the ASCII punctuation after it, which always are tokens of their own.
+#: Normalising leaves these letters letters; that of U+0130 would leave a mark, which is no letter.
+TAIL = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\[-^`{-~]+)\Z")
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaces: bool) -> ChunkEncoder:
+def encoder(path: str, spaces: bool, plain: bool = False) -> ChunkEncoder:
     """One encoder per worker process, so that its memo outlives a task."""
-    return ChunkEncoder(path, spaces)
+    return ChunkEncoder(path, spaces, plain)
 
 
 def vocabulary(name: str) -> str:
@@ -42,14 +43,18 @@ def vocabulary(name: str) -> str:
 
 class ChunkEncoder:
     """Ids of whole texts. ``spaces``: the vocabulary has tokens for white space (byte-level
-    BPE); otherwise white space only separates words."""
+    BPE); otherwise white space only separates words. ``plain``: strings of special tokens are
+    ordinary text; otherwise they are those tokens, as the library has it by default, and the
+    rare texts that hold one are encoded whole."""
 
-    def __init__(self, path: str, spaces: bool) -> None:
+    def __init__(self, path: str, spaces: bool, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)", re.IGNORECASE)
         self.spaces = spaces
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -68,6 +73,8 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.added.search(text):
+            return self._ids(text).tobytes()
         chunks = self.chunks(text)
         found = list(map(self.memo.get, chunks))
         if None in found:
