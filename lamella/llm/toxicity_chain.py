@@ -9,8 +9,7 @@ later model never learns from an over-confident earlier one.
 Features are the presence of words (lower case), of word beginnings (``STEMS``
 characters, for languages that compound), and of four coarse measures of the text (upper
 case, symbols, repeated words, length). Each model keeps the features that are enriched in its
-category (``keep`` at most), which bounds its size whatever the vocabulary; the weights are
-fitted by regularised logistic regression (limited-memory BFGS).
+category; the weights are fitted by regularised logistic regression (limited-memory BFGS).
 
 The fit uses at most ``sample`` labelled documents, those with the smallest hash of
 their doc_id (a documented bound); their features come to the driver, where the models
@@ -25,6 +24,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -44,7 +44,6 @@ SAMPLE = 16_000
 FOLDS = 5
 STEMS = (4, 5, 6, 7)
 SPACE = 1 << 22
-KEEP = 4096
 LEAST_ROWS = 3
 WORD = re.compile(r"\w+")
 DENSE = 4
@@ -71,10 +70,10 @@ def capitals(text: str) -> int:
 
 def shares(text: str, words: list[str]) -> tuple[float, ...]:
     """Upper case letters and symbols as shares of the characters, repeated words as a share of the
-    words, and the number of words as a share of 20,000 (1 at most)."""
+    words, and a tenth of the logarithm of the number of words."""
     n = max(1, len(text))
     spaced = sum(map(len, words))
-    return (capitals(text) / n, 1 - (spaced + text.count(" ")) / n, 1 - len(set(words)) / max(1, len(words)), min(1.0, len(words) / 20000))
+    return (capitals(text) / n, 1 - (spaced + text.count(" ")) / n, 1 - len(set(words)) / max(1, len(words)), math.log1p(len(words)) / 10)
 
 
 @dataclass
@@ -103,7 +102,7 @@ class Entries:
         for start in range(0, len(self.rows), size):
             yield self.rows[start : start + size], self.hashed[start : start + size]
 
-    def enriched(self, y: np.ndarray, learn: np.ndarray, keep: int) -> np.ndarray:
+    def enriched(self, y: np.ndarray, learn: np.ndarray) -> np.ndarray:
         """The features whose rows (of ``learn``) have more or fewer positives than chance would give."""
         total, positive = np.zeros(SPACE, np.int32), np.zeros(SPACE, np.int32)
         for rows, hashed in self.slices():
@@ -113,8 +112,7 @@ class Entries:
         often = np.flatnonzero(total >= LEAST_ROWS)
         n = total[often]
         z = np.abs(positive[often] - n * share) / np.sqrt(n * share * (1 - share))
-        best = np.argsort(-z, kind="stable")[:keep]
-        return often[np.sort(best[z[best] > 4])]
+        return often[z > 4]
 
     def matched(self, features: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, column of ``features``) pairs; rows are numbered within ``some``."""
@@ -161,13 +159,13 @@ def minimise(value: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndar
     return x
 
 
-def fit(entries: Entries, dense: np.ndarray, y: np.ndarray, learn: np.ndarray, keep: int = KEEP, ridge: float = 1e-3) -> Linear:
+def fit(entries: Entries, dense: np.ndarray, y: np.ndarray, learn: np.ndarray, ridge: float = 1e-3) -> Linear:
     """Regularised logistic regression on the rows of ``learn``."""
     all_y, dense, y = y, dense[learn], y[learn]
     if not len(y) or y.min() == y.max():
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(dense.shape[1]), float(np.log(p / (1 - p))))
-    features = entries.enriched(all_y, learn, keep)
+    features = entries.enriched(all_y, learn)
     rows, columns = entries.matched(features, learn)
     n, k = len(y), len(features)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
