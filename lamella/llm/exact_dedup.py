@@ -28,15 +28,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lamella.llm.bitmap_filter import Filter
 from lamella.llm.common import whole_text
 from lamella.plans.spool import spool, spool_path
 
 #: Runs of white space other than one plain space: one space is its own normal form.
 NOT_ONE_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-#: Bits of a piece of a filter, bits per digest, and the most bits of a filter that is broadcast (8 MB).
-PIECE = 15
-BITS = 32
-MOST_BITS = 1 << 26
 #: Rows of a digest beyond which they are dealt to several tasks, and to how many.
 HOT = 4096
 SALTS = 64
@@ -51,31 +48,6 @@ def sha256_digest(norm: Column) -> Column:
     return F.unhex(F.sha2(norm.cast("binary"), 256))
 
 
-class Filter:
-    """A bitmap over hashed digests. False positives are possible, false negatives are not."""
-
-    def __init__(self, digests: DataFrame, count: int, most: int = MOST_BITS) -> None:
-        self.bits = min(max(1 << PIECE, 1 << max(0, count * BITS - 1).bit_length()), most)
-        place = self._place("digest")
-        pieces = digests.select(F.shiftright(place, PIECE).alias("piece"), place.bitwiseAND(F.lit((1 << PIECE) - 1)).alias("bit")).groupBy("piece").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
-        self.pieces = spool(pieces, "lsm-filter")
-
-    def _place(self, digest: str) -> Column:
-        return F.pmod(F.xxhash64(digest), F.lit(self.bits))
-
-    def marked(self, rows: DataFrame, digest: str, out: str) -> DataFrame:
-        """``rows`` with the column ``out``: whether the filter knows the digest."""
-        place = self._place(digest)
-        pieces = self.pieces.select(F.col("piece").alias("__piece"), F.col("bitmap").alias("__bitmap"))
-        if self.bits <= MOST_BITS:
-            pieces = F.broadcast(pieces)  # 8 MB at most, whatever the number of digests
-        at = place.bitwiseAND(F.lit((1 << PIECE) - 1))
-        byte = F.conv(F.hex(F.substring("__bitmap", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        known = F.coalesce(F.expr("getbit(__byte, __bit)") == 1, F.lit(False))
-        joined = rows.join(pieces, F.shiftright(place, PIECE) == F.col("__piece"), "left").withColumn("__byte", byte).withColumn("__bit", at.bitwiseAND(F.lit(7)).cast("int"))
-        return joined.withColumn(out, known).drop("__piece", "__bitmap", "__byte", "__bit")
-
-
 def _entries(docs: DataFrame, digest) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(whole_text()).alias("norm")).withColumn("digest", digest(F.col("norm")))
 
@@ -103,7 +75,11 @@ class DigestIndex:
 
     def flush(self, docs: DataFrame) -> DataFrame:
         """Write a batch as a level-0 run and return it; compact the levels that are full."""
-        per_id = _entries(docs, self.digest).groupBy("digest", "doc_id").count()
+        return self.flush_entries(_entries(docs, self.digest).select("doc_id", "digest"))
+
+    def flush_entries(self, entries: DataFrame) -> DataFrame:
+        """``flush`` of rows (doc_id, digest)."""
+        per_id = entries.groupBy("digest", "doc_id").count()
         merged = per_id.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("count").alias("n"), F.min_by("count", _turn("doc_id")).alias("n_keep"))
         return self._add(0, merged.repartition(self.buckets, "digest"))
 
@@ -167,12 +143,14 @@ def _salted(rows: DataFrame, hot: Filter, copies: bool) -> DataFrame:
 
 
 class Found:
-    """The verified hits of one batch: ``classes`` (digest, norm, keep_id, n, n_keep; stored) of the texts
-    that the filter of repeated digests knows, and ``collided`` (digests of several texts)."""
+    """The verified hits of one batch: its ``entries`` (doc_id, digest; stored), the ``classes`` (digest, norm,
+    keep_id, n, n_keep; stored) of the texts that the filter of repeated digests knows, and
+    ``collided`` (digests of several texts)."""
 
     def __init__(self, docs: DataFrame, digest) -> None:
         self.docs, self.digest = docs, digest
-        run = DigestIndex(docs.sparkSession, digest).flush(docs)
+        self.entries = spool(_entries(docs, digest).select("doc_id", "digest"), "lsm-entries")
+        run = DigestIndex(docs.sparkSession, digest).flush_entries(self.entries)
         sizes = run.agg(F.count(F.when(F.col("n") > 1, 1)).alias("hits"), F.count(F.when(F.col("n") > HOT, 1)).alias("hot")).first()
         self.hits = Filter(run.where("n > 1").select("digest"), sizes["hits"])
         self.hot = Filter(run.where(F.col("n") > HOT).select("digest"), sizes["hot"])
@@ -182,14 +160,15 @@ class Found:
         verified = per_id.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.sum("count").alias("n"), F.min_by("count", _turn("doc_id")).alias("n_keep"))
         self.classes = spool(verified, "lsm-verified")
         self.collided = spool(self.classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "lsm-collided")
+        self.sound = self.collided.isEmpty()
 
     def known(self, rows: DataFrame, *columns: str) -> DataFrame:
-        """``rows`` (doc_id, digest, norm) that the filter of hits knows, with ``keep_id``, ``n``, ``n_keep``."""
+        """``rows`` (doc_id, digest; also norm unless ``sound``) that the filter of hits knows, with ``keep_id``, ``n``, ``n_keep``."""
         plain = self.classes.select("digest", "keep_id", "n", "n_keep").join(self.collided, "digest", "left_anti")
         entry = _salted(plain, self.hot, True).select(F.col("digest").alias("__of"), F.col("__salt").alias("__of_salt"), "keep_id", "n", "n_keep")
         dealt = _salted(rows, self.hot, False)
         found = dealt.join(entry, (F.col("digest") == F.col("__of")) & (F.col("__salt") == F.col("__of_salt"))).select(*columns, "digest", "keep_id", "n", "n_keep")
-        if self.collided.isEmpty():
+        if self.sound:
             return found
         # Texts that share a digest without being equal are told apart by their bytes.
         texts = self.classes.join(self.collided, "digest").select(F.col("digest").alias("__of"), F.col("norm").alias("__norm"), "keep_id", "n", "n_keep")
@@ -204,7 +183,7 @@ def duplicates(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     these few rows are numbered.
     """
     found = Found(docs, digest)
-    rows = found.hits.marked(_entries(docs, digest), "digest", "__hit")
+    rows = found.hits.marked(found.entries if found.sound else _entries(docs, digest), "digest", "__hit")
     alone = rows.where("not __hit").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "digest")
     again = found.known(rows.where("__hit").drop("__hit"), "doc_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     columns = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", "digest"]
