@@ -1,27 +1,31 @@
 """Exact Jaccard join of documents on their word 5-grams, by adaptive multi-match prefixes.
 
 Two documents link when 100 * |A and B| >= 75 * |A or B| for their sets of distinct
-shingles. Shingles are ordered from rare to common. With n shingles and o = ceil(3 n / 4),
-a document's prefix of n - o + l shingles has l or more in common with the prefix of any
-document it links with; l = 1 is the usual prefix filter. Here each document lengthens its
-prefix on its own: it takes the l with the least estimated cost, from the document
-frequencies of the shingles it would add and the candidates that l matches would leave. A
-pair is verified only if it shares as many prefix shingles as the smaller of the two l.
-
-Steps: documents with equal sets become one class. Shingles that a single class holds
-cannot match, so only shared ones (with their frequency) come back from a first pass;
-classes with fewer shared shingles than o have no partner and go no further. Of each
-shingle's list, every class is first matched with the list's smallest class, which links
-the large groups; then exactly those pairs that lie in different components so far are
-formed, counted and verified. So groups of thousands of near copies do not turn into all
-their pairs, and no link between two components is lost.
+shingles. Shingles are ordered from rare to common. A document whose set of p shingles has m
+or more in common with any partner's has, among its first p - m + l shingles, l or more in
+common with the prefix of any partner; l = 1 is the usual prefix filter. Here each document
+lengthens its prefix on its own: it takes the l with the least estimated cost, from the
+document frequencies of the shingles it would add and the candidates that l matches would
+leave. A pair is verified only if it shares as many prefix shingles as the smaller of the
+two l.
+
+Steps: documents with equal sets become one class. A partial ``shingle_screen`` keeps the
+classes that may have a partner; only their texts are read again. A whole screen of their
+sets tells which shingles they share and how many classes have them, hence the prefixes. First, each class is matched with one
+head, a class that shares one of the few shingles of least hash with it, which links the
+large groups; then exactly those pairs that lie in different components so far are formed
+from the prefixes, counted and verified on their whole sets. So groups of thousands of
+near copies do not turn into all their pairs, and no link between two components is lost.
+Long lists are dealt by salts, and the pairs of a list or of a head are formed in blocks. Sets travel to their
+verification as 32 bits a shingle, which can only make two sets look more alike; a pair
+that so many false matches as may occur would decide is compared by whole hashes.
 
 Special rows: null and empty texts, or those without words, have empty sets and link with
 nothing; fewer than five words are one shingle; repeated rows are one class; a null doc_id
 is never the smallest of a component unless it has no other. ``drop_near_duplicates`` keeps
 exactly one row of each component (of its smallest doc_id, nulls last, the least text hash,
-then the least row hash) and every row with an empty set; extra columns are kept. An empty table gives an empty result. Shingles are compared by
-64-bit hashes, of which at least ``bits`` + 48 are kept.
+then the least row hash) and every row with an empty set; extra columns are kept. An empty
+table gives an empty result. Shingles are compared by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -33,9 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import out_batches, rows_of, whole_text
+from lamella.llm.attach import attached
+from lamella.llm.bitmap_filter import only
+from lamella.llm.common import out_batches, rows_of
 from lamella.llm.components import components
-from lamella.llm.shared_keys import Packing, gathered, keys_of, ranges_for, shared
+from lamella.llm.shared_keys import keys_of
+from lamella.llm.shingle_screen import CAP, MARKS, OWNER_MASK, PACKED, Screen, bits_for, candidates, marked, merged, screen_for, screened
 from lamella.llm.words import mixed, sequences, signed, word_hashes
 from lamella.plans.spool import spool
 
@@ -44,8 +51,11 @@ PERCENT = 75
 #: Most shingles that a prefix is lengthened by, and the cost of verifying against one list entry.
 MOST = 8
 VERIFY = 8.0
-#: Frequencies are told apart up to this one.
-CAP = 32
+#: Shingles of least hash by which a class looks for a head.
+SKETCH = 16
+#: Classes of a list in one block of its pairs, and the least number of salts.
+BLOCK = 4096
+SALTS = 64
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -62,189 +72,248 @@ def identity(keys: np.ndarray) -> int:
     return signed(xxhash.xxh3_64_intdigest(keys.tobytes(), seed=len(keys)))
 
 
-def least(n: np.ndarray | int, percent: int = PERCENT):
-    """The least number of common shingles of a document with n."""
-    return -(-n * percent // 100)
+def prefix(keys: np.ndarray, dfs: np.ndarray, need: int, cap: int = CAP) -> tuple[np.ndarray, int, np.ndarray]:
+    """The shared shingles of a document's prefix, its l, and which of them are in ``cap`` sets or more.
+    Unshared ones come before them.
 
-
-SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("identity", pa.int64())])
-
-
-#: Two hashes of the text as it stands, 128 bits.
-MARKS = {"mark": lambda: F.xxhash64(whole_text()), "mark2": lambda: F.xxhash64(F.lit(1), whole_text())}
-
-
-def sets(docs: DataFrame, marked: bool = False) -> DataFrame:
-    """doc_id, n_shingles, identity (null for an empty set) of each document; stored.
-
-    With ``marked`` also ``MARKS``, which tell the texts of one doc_id apart.
+    ``need``: how many of the set a partner has at least. None if too few are shared.
     """
-    names = list(MARKS) if marked else []
-    schema = pa.schema([*SETS_ARROW, *((c, pa.int64()) for c in names)])
-
-    def measure(batches):
-        def rows() -> Iterator[tuple]:
-            for doc_id, text, *marks in rows_of(batches, "doc_id", "text", *names):
-                keys = shingles(text)
-                yield doc_id, len(keys), identity(keys) if len(keys) else None, *marks
-
-        yield from out_batches(rows(), schema)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), *(MARKS[c]().alias(c) for c in names))
-    return spool(rows.mapInArrow(measure, ", ".join(["doc_id bigint, n_shingles bigint, identity bigint", *(f"{c} bigint" for c in names)])), "shingle-sets")
-
-
-def prefix(keys: np.ndarray, dfs: np.ndarray, n: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The shared shingles of a document's prefix, and its l. Unshared ones come before them."""
-    need = least(n, percent)
     spare = len(keys) - need  # shared shingles in the prefix for l = 0
     if spare < 0:
-        return keys[:0], 1
+        return keys[:0], 1, np.zeros(0, bool)
     order = np.lexsort((keys, dfs))
     entries = np.cumsum(dfs[order].astype(np.int64) - 1)
     ls = np.arange(1, max(1, min(MOST, need)) + 1)
     ends = np.minimum(spare + ls, len(keys))
     cost = entries[ends - 1] * (1 + VERIFY / ls)
     best = int(np.argmin(cost))
-    return keys[order[: ends[best]]], int(ls[best])
+    some = order[: ends[best]]
+    return keys[some], int(ls[best]), dfs[some] >= cap
 
 
 #: 64-bit words of the parity bitmap.
 LANES = 8
 PARITY = [f"p{k}" for k in range(LANES)]
-NUMBERS = ("n", "l", "alone", *PARITY)
-CLASS = "identity bigint, n int, l int, alone int, keys binary, prefix binary, parity binary"
-CLASS_ARROW = pa.schema([("identity", pa.int64()), ("n", pa.int32()), ("l", pa.int32()), ("alone", pa.int32()), ("keys", pa.binary()), ("prefix", pa.binary()), ("parity", pa.binary())])
+SETS_ARROW = pa.schema([("identity", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), *((p, pa.int64()) for p in PARITY)])
+SETS = "identity bigint, n bigint, keys binary, " + ", ".join(f"{p} bigint" for p in PARITY)
+CLASS_ARROW = pa.schema([("identity", pa.int64()), ("n", pa.int64()), ("l", pa.int64()), ("alone", pa.int64()), ("sketch", pa.binary()), ("few", pa.binary()), ("many", pa.binary())])
+CLASS = "identity bigint, n bigint, l bigint, alone bigint, sketch binary, few binary, many binary"
 
 
-def parity(keys: np.ndarray) -> bytes:
+def parity(keys: np.ndarray) -> list[int]:
     """A bitmap in which every key flips one bit. Two sets differ in at least as many keys as
     their bitmaps differ in bits."""
     bits = np.bincount((mixed(keys) % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
+
 
+def classes(sets: DataFrame, screen: Screen) -> DataFrame:
+    """The classes that can have a partner, by a whole screen of the sets; stored.
 
-def classes(docs: DataFrame, total: int) -> DataFrame:
-    """The classes that can have a partner, with their shared shingles and their prefix; stored."""
+    ``few`` and ``many`` are the prefix shingles that fewer than ``CAP`` classes have, or more;
+    ``sketch`` the shared ones of least hash, ``alone`` how many in a thousand no other class
+    has. Where two classes have one owner number, both get the prefix of all keys, which
+    holds the prefixes of both.
+    """
 
-    def texts(batches):
-        for (text,) in rows_of(batches, "text"):
-            keys = shingles(text)
-            if len(keys):
-                yield identity(keys), len(keys), keys
+    def pack(batches):
+        yield from screen.pack((None, who, np.frombuffer(keys, "<u8")) for who, keys in rows_of(batches, "identity", "keys"))
 
     def choose(batches):
         def rows() -> Iterator[tuple]:
-            for who, n, lists in rows_of(batches, "identity", "size", "lists"):
+            for who, n, need, lists in rows_of(batches, "identity", "n", "need", "lists"):
                 keys, dfs = keys_of(lists)
-                first, l = prefix(keys, dfs, n)
+                first, l, common_ones = prefix(keys, dfs, need, screen.cap)
                 if len(first):
-                    yield who, n, l, n - len(keys), keys.tobytes(), first.tobytes(), parity(keys)
+                    yield who, n, l, max(0, n - len(keys)) * 1000 // n, keys[:SKETCH].tobytes(), first[~common_ones].tobytes(), first[common_ones].tobytes()
 
         yield from out_batches(rows(), CLASS_ARROW)
 
-    found = shared(docs.select(whole_text().alias("text")), texts, Packing("df", ranges_for(total), 6, CAP))
-    return spool(gathered(found).mapInArrow(choose, CLASS), "shingle-classes")
+    def lose(keys: pa.Array) -> pa.Array:
+        return pa.array([screen.lost(np.frombuffer(x, "<u8")) for x in keys.to_pylist()], pa.int64())
+
+    found = merged(sets.select("identity", "keys").mapInArrow(pack, PACKED), screen, True)
+    lists = found.groupBy("owner").agg(F.sum("hits").alias("hits"), F.collect_list(F.struct("keys", "dfs")).alias("lists"))
+    numbers = sets.select("identity", "n", F.arrow_udf(lose, "bigint")("keys").alias("lost"))
+    need = F.greatest(F.lit(1), screen.common_column(F.col("n")) - F.col("lost"))
+    both = numbers.withColumn("need", need).join(lists, F.col("identity").bitwiseAND(F.lit(OWNER_MASK)) == F.col("owner")).where("hits >= need")
+    return spool(both.select("identity", "n", "need", "lists").mapInArrow(choose, CLASS), "shingle-classes")
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """identity, n, keys and the parity bitmap of each class: one text of each is read again; stored."""
+
+    def read(batches):
+        seen: set[int] = set()
+
+        def rows() -> Iterator[tuple]:
+            for who, text in rows_of(batches, "identity", "text"):
+                keys = shingles(text)
+                if who not in seen and identity(keys) == who:  # not a repeated row, nor another text with the same doc_id and marks
+                    seen.add(who)
+                    yield who, len(keys), keys.tobytes(), *parity(keys)
 
+        yield from out_batches(rows(), SETS_ARROW)
 
-def postings(known: DataFrame) -> DataFrame:
-    """shingle, identity, n, l, alone and parity words of each prefix shingle; stored."""
-    numbers = ("n", "l", "alone")
-    schema = pa.schema([("shingle", pa.int64()), ("identity", pa.int64())] + [(c, pa.int32()) for c in numbers] + [(c, pa.int64()) for c in PARITY])
+    # Most texts are not wanted: a bitmap of 8 MB at most keeps them from being shuffled.
+    held = only(marked(docs), "mark", wanted, "mark")
+    of = wanted.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("mark2").alias("__mark2"), "identity")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")) & (F.col("mark2") == F.col("__mark2"))
+    return spool(held.join(of.hint("merge"), same).select("identity", "text").mapInArrow(read, SETS), "shingle-sets")
+
+
+def lists_of(known: DataFrame, column: str, *names: str) -> DataFrame:
+    """shingle, identity and the named columns (whole numbers) of each shingle in ``column``."""
+    schema = pa.schema([("shingle", pa.int64()), ("identity", pa.int64()), *((n, pa.int64()) for n in names)])
 
     def spread(batches):
         for b in batches:
-            raw = [np.frombuffer(x, "<i8") for x in b.column("prefix").to_pylist()]
-            times = [len(x) for x in raw]
-            if sum(times):
-                words = np.frombuffer(b"".join(b.column("parity").to_pylist()), "<i8").reshape(-1, LANES)
-                columns = [np.concatenate(raw), *(np.repeat(b.column(c).to_numpy(), times) for c in ("identity", *numbers)), *(np.repeat(words[:, k], times) for k in range(LANES))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+            raw = [np.frombuffer(x, "<i8") for x in b.column(column).to_pylist()]
+            if raw:
+                times = [len(x) for x in raw]
+                columns = [np.concatenate(raw), *(np.repeat(b.column(c).to_numpy(zero_copy_only=False), times) for c in ("identity", *names))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
-    rows = known.select("identity", *numbers, "prefix", "parity").mapInArrow(spread, "shingle bigint, identity bigint, n int, l int, alone int, " + ", ".join(f"{c} bigint" for c in PARITY))
-    return spool(rows, "shingle-postings")
+    return known.select("identity", *names, column).mapInArrow(spread, ", ".join(f"{f.name} bigint" for f in schema))
 
 
 def may_link(percent: int = PERCENT):
-    """Whether two sets (n, alone, p0...; m, alone2, q0...) can be similar enough.
+    """Whether two sets (n, p0...; m, q0...) can be similar enough: they differ in at least the bits in
+    which their bitmaps differ, and linked sets of n and m differ in (n + m) / 7 at most."""
+    bits = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"q{k}"))) for k, p in enumerate(PARITY)), F.lit(0))
+    return fits() & (bits * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
-    They differ in at least the shingles that each has alone and the bits in which their
-    bitmaps differ; linked sets of n and m differ in (n + m) / 7 at most.
-    """
-    bits = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"q{k}"))) for k, p in enumerate(PARITY)), F.col("alone") + F.col("alone2"))
-    sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    return sizes & (bits * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, ...) whose sizes and bitmaps allow a link."""
+    one = sets.select(F.col("identity").alias("a"), "n", *PARITY)
+    two = sets.select(F.col("identity").alias("b"), F.col("n").alias("m"), *(F.col(p).alias(f"q{k}") for k, p in enumerate(PARITY)))
+    pairs = spool(pairs, "shingle-met")
+    return attached(pairs, "b", "a", two).join(one, "a").where(may_link()).select(*pairs.columns)
+
+
+def common(x: bytes, y: bytes, kind: str) -> int:
+    """How many of the ascending numbers of x are in y."""
+    p, q = np.frombuffer(x, kind), np.frombuffer(y, kind)
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
 
 
-def second(frame: DataFrame, *more: str) -> DataFrame:
-    """The other side of a pair, under other names."""
-    return frame.select("shingle", F.col("identity").alias("b"), F.col("n").alias("m"), F.col("alone").alias("alone2"), *(F.col(p).alias(f"q{k}") for k, p in enumerate(PARITY)), *more)
+def similar(shared: int, n: int, m: int, percent: int = PERCENT) -> bool:
+    return 100 * shared >= percent * (n + m - shared)
 
 
-def verified(pairs: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) that link, by the shared shingles of both."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def false_matches(n: int, m: int) -> int:
+    """More 32-bit numbers than this fall together by chance in one of some 10^9 pairs at most."""
+    return 4 + int(16 * n * m / 2**32)
+
+
+CHECKED_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link, by the shingles of both; stored."""
+
+    def shorten(batches):
+        for b in batches:
+            short = [(np.frombuffer(x, "<u8") >> np.uint64(32)).astype("<u4").tobytes() for x in b.column("keys").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("identity"), pa.array(short, pa.binary())], names=["identity", "short"])
 
     def check(batches):
         def rows() -> Iterator[tuple]:
-            for a, b, n, m, x, y in rows_of(batches, "a", "b", "n", "m", "x", "y"):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                common = int((q[at] == p).sum())
-                if 100 * common >= percent * (n + m - common):
-                    yield a, b
+            for a, b, x, y in rows_of(batches, "a", "b", "x", "y"):
+                n, m = len(x) // 4, len(y) // 4
+                most = min(common(x, y, "<u4"), n, m)
+                if similar(most, n, m):
+                    yield a, b, similar(most - false_matches(n, m), n, m)
+
+        yield from out_batches(rows(), CHECKED_ARROW)
+
+    def check_whole(batches):
+        def rows() -> Iterator[tuple]:
+            for a, b, x, y in rows_of(batches, "a", "b", "x", "y"):
+                if similar(common(x, y, "<u8"), len(x) // 8, len(y) // 8):
+                    yield a, b, True
+
+        yield from out_batches(rows(), CHECKED_ARROW)
 
-        yield from out_batches(rows(), schema)
+    def joined(some: DataFrame, column: str, every: DataFrame) -> DataFrame:
+        ids = some.select(F.col("a").alias("identity")).unionByName(some.select(F.col("b").alias("identity")))
+        needed = every.join(ids, "identity", "left_semi")
+        one, two = (needed.select(F.col("identity").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        return attached(some.select("a", "b"), "b", "a", two).join(one, "a")
 
-    one = known.select(F.col("identity").alias("a"), F.col("n"), F.col("keys").alias("x"))
-    two = known.select(F.col("identity").alias("b"), F.col("n").alias("m"), F.col("keys").alias("y"))
-    return spool(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(check, "a bigint, b bigint"), "shingle-links")
+    short = sets.select("identity", "keys").mapInArrow(shorten, "identity bigint, short binary")
+    schema = "a bigint, b bigint, sure boolean"
+    found = spool(joined(spool(pairs, "shingle-pairs"), "short", short).mapInArrow(check, schema), "shingle-checked")
+    close = joined(found.where("not sure"), "keys", sets).mapInArrow(check_whole, schema)
+    return spool(found.where("sure").unionByName(close).select("a", "b"), "shingle-links")
 
 
-def hub_pairs(lists: DataFrame) -> DataFrame:
-    """Each class with the list head that it shares most of its prefix with: one pair per class.
+def salts(spark) -> int:
+    return max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    A list's head is its class with the least share of shingles of its own, such as the
-    text that the others are copies of.
+
+def hub_pairs(known: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: each class with the list head that it shares most of its sketch with; one pair per class at most.
+
+    A list's head is its class with the least share of shingles of its own, such as the text
+    that the others are copies of. A list's head reaches its classes by one row for each salt.
     """
-    share = F.struct(F.floor(F.col("alone") * 1000 / F.col("n")).alias("share"), F.col("identity"))
-    heads = lists.groupBy("shingle").agg(F.min(share)["identity"].alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("shingle", "head")
-    known = lists.join(heads, "shingle")
-    near = known.join(second(lists.select("identity", *NUMBERS).distinct().withColumn("shingle", F.lit(0))).drop("shingle"), F.col("head") == F.col("b"))
-    near = near.where(F.col("identity") != F.col("b")).where(may_link())
-    best = near.groupBy("identity", "b").count().groupBy("identity").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-    return best.select(F.col("identity").alias("a"), "b")
+    salt = F.pmod(F.xxhash64("identity"), F.lit(salts(known.sparkSession)))
+    lists = lists_of(known, "sketch", "alone").withColumn("salt", salt)
+    least_of = lists.groupBy("shingle", "salt").agg(F.min(F.struct("alone", "identity")).alias("first"), F.count(F.lit(1)).alias("n"))
+    heads = least_of.groupBy("shingle").agg(F.min("first")["identity"].alias("b"), F.sum("n").alias("n")).where("n > 1").select("shingle", "b")
+    by_salt = least_of.select("shingle", "salt").join(heads, "shingle")
+    met = lists.join(by_salt, ["shingle", "salt"]).where("identity <> b").groupBy(F.col("identity").alias("a"), "b").count()
+    return likely(met, sets).groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+
 
+def fits() -> Column:
+    """Whether sets of n and m may be similar enough."""
+    return (F.col("n") * 100 >= F.col("m") * PERCENT) & (F.col("m") * 100 >= F.col("n") * PERCENT)
 
-def cross_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """All candidate pairs of classes in different components that share enough of their prefixes.
 
-    In each list, the classes outside its most frequent component are joined with all
-    others; classes of that component are not joined with one another.
+def cross_pairs(known: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """All candidate pairs (a, b) of classes in different components that share enough of their prefixes.
+
+    Lists of fewer than ``CAP`` classes are joined with themselves in one row. In each longer list, the
+    classes outside its most frequent component are joined with all others; classes of that
+    component are not joined with one another. A list of more than ``BLOCK`` classes is
+    joined in as many blocks as it has so many.
     """
-    rooted = lists.join(roots, lists["identity"] == roots["node"], "left").select("shingle", "identity", *NUMBERS, F.coalesce("root", "identity").alias("root"))
-    mixed_lists = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    rest = spool(rooted.join(mixed_lists, "shingle", "left_semi"), "shingle-rest")
-    main = rest.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    left = rest.join(main, "shingle").where("root <> main").select("shingle", "main", F.col("identity").alias("a"), "n", "alone", *PARITY, F.col("l").alias("k"), F.col("root").alias("r"))
-    right = second(rest, "l", "root")
+    rooted = known.join(roots, F.col("identity") == F.col("node"), "left").withColumn("root", F.coalesce("root", "identity"))
+    few = lists_of(rooted, "few", "n", "l", "root").groupBy("shingle").agg(F.collect_list(F.struct("identity", "n", "l", "root")).alias("some")).where("size(some) > 1")
+    each = few.select("some", F.explode("some").alias("x")).select("x", F.explode("some").alias("y")).where("x.root < y.root")
+    short = each.select(F.col("x.identity").alias("a"), F.col("y.identity").alias("b"), F.col("x.l").alias("k"), F.col("y.l").alias("l"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).where(fits()).select("a", "b", "k", "l")
+
+    salt = F.pmod(F.xxhash64("identity"), F.lit(salts(known.sparkSession))).alias("salt")
+    marks_of = sets.select("identity", *PARITY)
+    lists = lists_of(rooted.where("length(many) > 0").join(marks_of, "identity"), "many", "n", "l", "root", *PARITY).select("*", salt)
+    counts = spool(lists.groupBy("shingle", "root", "salt").count(), "shingle-counts")
+    by_root = counts.groupBy("shingle", "root").agg(F.sum("count").alias("count"))
+    main = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    marks = counts.join(main, "shingle").select("shingle", "root", "salt", "main", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    rest = lists.join(marks, ["shingle", "root", "salt"]).select("shingle", "identity", "n", "l", "root", *PARITY, "main", "blocks")
+    left = rest.where("root <> main").select("shingle", F.col("identity").alias("a"), "n", F.col("l").alias("k"), F.col("root").alias("r"), *PARITY, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = rest.select("shingle", F.col("identity").alias("b"), F.col("n").alias("m"), "l", "root", "main", *(F.col(p).alias(f"q{k}") for k, p in enumerate(PARITY)), F.pmod(F.xxhash64("identity"), F.col("blocks")).alias("block"))
     once = (F.col("root") == F.col("main")) | (F.col("r") < F.col("root"))
-    met = left.join(right, "shingle").where((F.col("r") != F.col("root")) & once & may_link())
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    counts = met.select(low.alias("a"), high.alias("b"), F.least("k", "l").alias("need")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("matches"), F.first("need").alias("need"))
-    return counts.where("matches >= need").select("a", "b")
+    long = left.join(right, ["shingle", "block"]).where((F.col("r") != F.col("root")) & once & may_link()).select("a", "b", "k", "l")
+
+    met = short.unionByName(long).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = met.agg(F.count(F.lit(1)).alias("matches"), F.min(F.least("k", "l")).alias("need"))
+    return likely(pairs.where("matches >= need").select("a", "b"), sets)
 
 
-def linked_classes(docs: DataFrame, rows: DataFrame, first: Column, least: str) -> DataFrame:
+def linked_classes(table: DataFrame, docs: DataFrame, screen: Screen, first: Column, least: str) -> DataFrame:
     """__who, n_classes and, as ``least``, the least ``first`` of its component for each class; stored."""
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    known = classes(docs, total)
-    lists = postings(known)
-    links = verified(hub_pairs(lists), known)
+    sets = whole_sets(docs, candidates(table, screen))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    known = classes(sets, Screen(bits_for(total), PERCENT, None, screen.cap, screen.per_flush))
+    links = verified(hub_pairs(known, sets), sets)
     roots = components(links)
-    links = links.unionByName(verified(cross_pairs(lists, roots), known))
+    links = links.unionByName(verified(cross_pairs(known, roots, sets), sets))
     roots = components(links)
-    firsts = rows.where("identity is not null").groupBy("identity").agg(F.min(first).alias("first"))
+    firsts = table.where("owner is null and n_shingles > 0").groupBy("identity").agg(F.min(first).alias("first"))
     rooted = firsts.join(roots, firsts["identity"] == roots["node"], "left").select("identity", "first", F.coalesce("root", "identity").alias("root"))
     lowest = spool(rooted, "shingle-roots")
     least_id = lowest.groupBy("root").agg(F.min("first").alias(least), F.count(F.lit(1)).alias("n_classes"))
@@ -254,11 +323,13 @@ def linked_classes(docs: DataFrame, rows: DataFrame, first: Column, least: str)
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    rows = sets(docs)
-    named = linked_classes(docs, rows, F.col("doc_id"), "component_id")
-    full = rows.where("identity is not null")
+    screen = screen_for(docs, PERCENT)
+    table = screened(docs, screen, shingles, identity)
+    named = linked_classes(table, docs, screen, F.col("doc_id"), "component_id")
+    rows = table.where("owner is null")
+    full = rows.where("n_shingles > 0")
     linked = full.join(named, full["identity"] == named["__who"]).select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(rows.where("identity is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return linked.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -266,9 +337,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text; only rows that repeat a kept one are numbered.
     """
-    rows = sets(docs, marked=True).where("identity is not null")
+    screen = screen_for(docs, PERCENT)
+    table = screened(docs, screen, shingles, identity)
+    rows = table.where("owner is null and n_shingles > 0")
     turn = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *MARKS)
-    named = linked_classes(docs, rows, turn, "__keep")
+    named = linked_classes(table, docs, screen, turn, "__keep")
     keyed = rows.join(named, rows["identity"] == named["__who"]).select(turn.alias("__turn"), "__keep")
     drop = keyed.where("__turn <> __keep").distinct().select(F.col("__turn").alias("__of"), F.lit(True).alias("__gone"))
     again = keyed.where("__turn = __keep").groupBy("__turn").count().where("count > 1").select(F.col("__turn").alias("__of"), F.lit(False).alias("__gone"))
