@@ -10,7 +10,8 @@ of about ``PER_RANGE`` entries.
 Texts are told apart by an identity, a whole number; texts with one identity count once.
 So an identity must stand for one content (such as its hash). Where the order of texts
 matters ("low"), each has a rank besides, which several identities may share: a key is low
-for those with a rank above its least one. Of the least rank in a task all entries are sent.
+for those with a rank above its least one, and comes back with the identity of a text of
+lower rank that has it. Of the least rank in a task all entries are sent.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ MANY = np.iinfo(np.int64).min
 
 PACKED = "part int, kind int, keys binary, ids binary, ranks binary, sizes binary, counts binary, dfs binary"
 PACKED_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32())] + [(n, pa.binary()) for n in ("keys", "ids", "ranks", "sizes", "counts", "dfs")])
-SHARED = "identity bigint, size int, keys binary, dfs binary"
-SHARED_ARROW = pa.schema([("identity", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("dfs", pa.binary())])
+SHARED = "identity bigint, size int, keys binary, dfs binary, holders binary"
+SHARED_ARROW = pa.schema([("identity", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("dfs", pa.binary()), ("holders", pa.binary())])
 ENTRIES, MARKS, SETTLED = 0, 1, 2
 
 #: identity, size, keys; in "low" mode also the rank, where it is not the identity.
@@ -47,15 +48,15 @@ def batch(arrays: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, schema.types, strict=True)], schema=schema)
 
 
-def by_identity(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dfs: np.ndarray) -> Iterator[tuple]:
-    """(identity, size, keys, dfs) with the keys of one identity together."""
+def by_identity(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dfs: np.ndarray, holders: np.ndarray) -> Iterator[tuple]:
+    """(identity, size, keys, dfs, holders) with the keys of one identity together."""
     order = np.argsort(ids, kind="stable")
-    ids, sizes, keys, dfs = ids[order], sizes[order], keys[order], dfs[order]
+    ids, sizes, keys, dfs, holders = ids[order], sizes[order], keys[order], dfs[order], holders[order]
     starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
     ends = [*starts[1:].tolist(), len(ids)]
-    raw, freq = keys.astype("<u8").tobytes(), dfs.astype(np.uint8).tobytes()
+    raw, freq, held = keys.astype("<u8").tobytes(), dfs.astype(np.uint8).tobytes(), holders.astype("<i8").tobytes()
     for s, e in zip(starts.tolist(), ends, strict=bool(len(starts))):
-        yield int(ids[s]), int(sizes[s]), raw[8 * s : 8 * e], freq[s:e]
+        yield int(ids[s]), int(sizes[s]), raw[8 * s : 8 * e], freq[s:e], held[8 * s : 8 * e]
 
 
 class Packing:
@@ -117,10 +118,11 @@ class Packing:
         if settled.any():
             spread = int(names[0]) % (1 << self.bits)
             dfs = np.full(int(settled.sum()), self.cap)
-            ids, spans, raw, freq, size = [], [], [], [], []
-            for i, n, k, f in by_identity(names[text[settled]], sizes[text[settled]], keys[settled], dfs):
-                ids.append(i), size.append(n), spans.append(len(f)), raw.append(k), freq.append(f)
-            rows.append([spread, SETTLED, b"".join(raw), np.array(ids, "<i8").tobytes(), b"", np.array(size, "<i4").tobytes(), np.array(spans, "<u4").tobytes(), b"".join(freq)])
+            ids, spans, raw, freq, size, lower = [], [], [], [], [], []
+            first_of = names[np.repeat(text[starts], counts)][settled] if self.mode == "low" else dfs[:0]
+            for i, n, k, f, h in by_identity(names[text[settled]], sizes[text[settled]], keys[settled], dfs, first_of if self.mode == "low" else np.zeros(len(dfs), np.int64)):
+                ids.append(i), size.append(n), spans.append(len(f)), raw.append(k), freq.append(f), lower.append(h)
+            rows.append([spread, SETTLED, b"".join(raw), np.array(ids, "<i8").tobytes(), b"".join(lower) if self.mode == "low" else b"", np.array(size, "<i4").tobytes(), np.array(spans, "<u4").tobytes(), b"".join(freq)])
         if self.mode == "df" and many.any():
             marked, of = keys[many & first], parts[many & first]
             for p in np.unique(of).tolist():
@@ -146,7 +148,7 @@ class Packing:
             if kind == SETTLED:
                 at = 0
                 for i, n, c in zip(np.frombuffer(who, "<i8").tolist(), np.frombuffer(size, "<i4").tolist(), np.frombuffer(count, "<u4").tolist(), strict=True):
-                    out.append((i, n, raw[8 * at : 8 * (at + c)], dfs[at : at + c]))
+                    out.append((i, n, raw[8 * at : 8 * (at + c)], dfs[at : at + c], rank[8 * at : 8 * (at + c)]))
                     at += c
                 continue
             keys.append(self._widen(raw))
@@ -175,12 +177,13 @@ class Packing:
             keep &= np.repeat(r[starts], counts) < r if len(k) else keep
         df = np.minimum(np.repeat(df, counts), self.cap)
         full = k | (np.uint64(part) << np.uint64(8 * self.key_bytes)) if self.key_bytes < 8 else k
-        out += by_identity(i[keep], n[keep], full[keep], df[keep])
-        return pa.Table.from_batches([batch(list(zip(*out, strict=True)) or [[]] * 4, SHARED_ARROW)])
+        lower = np.repeat(i[starts], counts) if len(k) else i
+        out += ((*row[:4], row[4] if self.mode == "low" else b"") for row in by_identity(i[keep], n[keep], full[keep], df[keep], lower[keep]))
+        return pa.Table.from_batches([batch(list(zip(*out, strict=True)) or [[]] * 5, SHARED_ARROW)])
 
 
 def shared(rows: DataFrame, texts: Callable[[Iterator[pa.RecordBatch]], Iterable[Text]], packing: Packing) -> DataFrame:
-    """identity, size, keys, dfs: the shared keys of each identity, in several rows.
+    """identity, size, keys, dfs, holders ("low" only): the shared keys of each identity, in several rows.
 
     ``texts`` turns the batches of ``rows`` into (identity, size, distinct 64-bit keys). A
     key may come twice for one identity.
@@ -196,8 +199,8 @@ def shared(rows: DataFrame, texts: Callable[[Iterator[pa.RecordBatch]], Iterable
 
 
 def gathered(found: DataFrame) -> DataFrame:
-    """identity, size and lists of keys and dfs; one row per identity, as large as its text at most."""
-    return found.groupBy("identity", "size").agg(F.collect_list(F.struct("keys", "dfs")).alias("lists"))
+    """identity, size and lists of keys, dfs and holders; one row per identity, as large as its text at most."""
+    return found.groupBy("identity", "size").agg(F.collect_list(F.struct("keys", "dfs", "holders")).alias("lists"))
 
 
 def keys_of(lists: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,3 +211,11 @@ def keys_of(lists: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     keys, dfs = keys[order], dfs[order]
     first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
     return keys[first], dfs[first]
+
+
+def holders_of(lists: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys and a holder for each."""
+    keys = np.frombuffer(b"".join(x["keys"] for x in lists), "<u8")
+    holders = np.frombuffer(b"".join(x["holders"] for x in lists), "<i8")
+    keys, first = np.unique(keys, return_index=True)
+    return keys, holders[first]
