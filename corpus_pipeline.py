@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lamella.llm import best_fit_packing, exact_dedup, ngram_join, source_mixing, toxicity_chain
 from lamella.llm.common import documents
 from lamella.llm.tokenise import vocabulary
-from lamella.plans.spool import spool
+from lamella.plans.spool import scratch, spool_path
 
 #: Nine tenths of the tokens, each document once; the weights are the operator's.
 MIXTURE = source_mixing.Mixture(budget=(9, 10), max_epochs=1)
@@ -51,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has spooled is deleted once its result is written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = spool(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = spool_path(spark, f"stage-{name}")
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
