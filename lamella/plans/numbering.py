@@ -53,3 +53,19 @@ def ordered_total(df: DataFrame, order: list[str], value: Column, out: str, part
     within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = stored.join(base, F.col("__range") == F.col("__of"))
     return joined.withColumn(out, F.col("__base") + F.coalesce(F.sum(value.cast("bigint")).over(within), F.lit(0))).drop("__range", "__of", "__base")
+
+
+def ordered_lag(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
+    """Add ``out``: ``value`` of the row before this one in the global ``order``; null for the first.
+
+    As in ``ordered_total``, rows are dealt by ranges; only the last row of each range travels
+    to the next one.
+    """
+    from lamella.plans.spool import spool
+
+    stored = spool(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ordered")
+    lasts = stored.groupBy("__range").agg(F.max_by(F.struct(value.alias("value")), F.struct(*order)).alias("__last"))
+    base = lasts.select(F.col("__range").alias("__of"), F.lag("__last").over(Window.orderBy("__range")).alias("__base"))
+    before = F.lag(F.struct(value.alias("value"))).over(Window.partitionBy("__range").orderBy(*order))
+    joined = stored.withColumn("__lagged", before).join(base, F.col("__range") == F.col("__of"))
+    return joined.withColumn(out, F.coalesce("__lagged", "__base")["value"]).drop("__range", "__of", "__lagged", "__base")
