@@ -21,7 +21,7 @@ def is_power_of_two(n: Column) -> Column:
 
 
 def blocks_needed(size: Column, block: int) -> Column:
-    return F.when(size == 0, F.lit(0)).otherwise(F.floor((size - 1) / F.lit(block)) + 1).cast("bigint")
+    return F.when(size == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("div", size.cast("bigint") - 1, F.lit(block).cast("bigint")) + 1)
 
 
 def round_up(size: Column, block: int) -> Column:
@@ -57,6 +57,50 @@ def little_endian(raw: Column, start: int, width: int) -> Column:
     return F.conv(F.concat(*pairs), 16, 10).cast("bigint")
 
 
+def little_endian_bytes(value: Column, width: int) -> Column:
+    """A number of at most ``width`` bytes as a little-endian binary field; higher bits are cut."""
+    hexed = F.lpad(F.hex(value.cast("bigint").bitwiseAND(F.lit((1 << 8 * width) - 1))), 2 * width, "0")
+    return F.unhex(F.concat(*(F.substring(hexed, 2 * k + 1, 2) for k in reversed(range(width)))))
+
+
+def device_number(major: Column, minor: Column) -> Column:
+    """A device's number: 12 low bits of the major above 8 low bits of the minor, then the rest of both."""
+    low = minor.bitwiseAND(F.lit(0xFF)).bitwiseOR(F.shiftleft(major.bitwiseAND(F.lit(0xFFF)), 8))
+    return low.bitwiseOR(F.shiftleft(minor.bitwiseAND(F.lit(~0xFF)), 12)).bitwiseOR(F.shiftleft(major.bitwiseAND(F.lit(~0xFFF)), 32))
+
+
+def strict_integer(text: Column) -> Column:
+    """A decimal option value as bigint; an error for anything else. Blanks may lead."""
+    plain = F.regexp_extract(text, r"^[\x20\x09-\x0D]*([+-]?[0-9]+)$", 1)
+    return F.when(plain != "", plain.cast("bigint")).otherwise(F.raise_error(F.concat(F.lit("not an integer: "), F.coalesce(text, F.lit("null")))).cast("bigint"))
+
+
+def range_draw(seed: Column, low: int, high: int) -> Column:
+    """A number in [low, high] drawn by a hash of ``seed``; low numbers are ever so slightly likelier."""
+    return F.pmod(seed, F.lit(high - low + 1)) + low
+
+
+def padding_offset(padded: Column, padding: int = 512) -> Column:
+    """Where the content begins: after the padding, if there is one."""
+    return F.when(padded, F.lit(padding)).otherwise(F.lit(0))
+
+
+def buffer_size(requested: Column, least: int, page: int = 4096) -> Column:
+    """The buffer to use and whether the request was changed: the minimum when it asks for no more, else whole pages."""
+    small = requested <= least
+    return F.struct(F.when(small, F.lit(least)).otherwise(round_up(requested, page)).cast("bigint").alias("size"), (small | (requested % page != 0)).alias("changed"))
+
+
+def quantised(x: Column, places: int = 4) -> Column:
+    """Rounded half to even."""
+    return F.bround(x, places)
+
+
+def ratio_change(encoded: Column, plain: Column) -> Column:
+    """By how many percent the encoded size differs from the plain one; null without bytes."""
+    return F.when(plain > 0, (encoded - plain) * F.lit(100.0) / plain)
+
+
 def octal(text: Column) -> Column:
     """An octal field; null when it is not one."""
     return F.when(text.rlike("^[0-7]+$"), F.conv(text, 8, 10).cast("bigint"))

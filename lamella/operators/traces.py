@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.plans.numbering import ordered_total
 from lamella.plans.spool import spool
 
 
@@ -30,6 +31,12 @@ def shared_users(mounts: DataFrame, key: list[str]) -> DataFrame:
 
 
 def live_users(changes: DataFrame, key: str, order: list[str], delta: str) -> DataFrame:
-    """Adds ``live``: acquired minus released so far, per key."""
-    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return changes.withColumn("live", F.sum(delta).over(so_far))
+    """Adds ``live``: acquired minus released so far, per key.
+
+    The sum runs over all keys in their order, in ranges; what a key begins with is taken off,
+    so a key with most of the changes is not gathered in one task.
+    """
+    summed = ordered_total(changes, [key, *order], F.col(delta), "__before")
+    begins = summed.groupBy(F.col(key).alias("__key")).agg(F.min_by("__before", F.struct(*order)).alias("__begin"))
+    joined = summed.join(begins, F.col(key).eqNullSafe(F.col("__key")))
+    return joined.withColumn("live", F.col("__before") + F.col(delta) - F.col("__begin")).drop("__before", "__key", "__begin")

@@ -29,8 +29,8 @@ def directory_sizes(tree: DataFrame) -> DataFrame:
 
 
 def subtree_totals(leaves: DataFrame, path: str, size: str) -> DataFrame:
-    """Leaves and bytes below each node."""
-    parts = leaves.select(P.components(F.col(path)).alias("parts"), F.col(size).alias("size"))
+    """Leaves and bytes below each node; a path without components is below none."""
+    parts = leaves.select(P.components(F.col(path)).alias("parts"), F.col(size).alias("size")).where(F.size("parts") > 0)
     each = parts.select("parts", "size", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"))
     return each.groupBy(F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("path")).agg(F.count(F.lit(1)).alias("n_leaves"), F.sum("size").alias("total_bytes"))
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.functions.scalars import little_endian
+
 #: Flag bit, name, smallest block (0: a memory page), codec data bytes, streamed, available here.
 CODECS = [
     (0x100, "zlib", 512, 0, True, True),
@@ -20,6 +22,8 @@ CODECS = [
 ]
 LEAST_SHIFT, MOST_SHIFT, PAGE = 9, 20, 4096
 XZ_MEMORY = 64 << 20
+#: Fixed value: the number that xz's codec data begin with.
+XZ_MAGIC = 0x377A585A
 #: Branch filters that xz can put before its compression.
 BCJ = {"x86": lzma.FILTER_X86, "powerpc": lzma.FILTER_POWERPC, "ia64": lzma.FILTER_IA64, "arm": lzma.FILTER_ARM, "armthumb": lzma.FILTER_ARMTHUMB, "sparc": lzma.FILTER_SPARC}
 
@@ -36,6 +40,26 @@ def block_sizes(codecs: DataFrame, page: int = PAGE) -> DataFrame:
     return codecs.select("name", "compiled", low.alias("low"), "max_blksz", sizes.alias("blksz")).where("blksz between low and max_blksz").select("name", "compiled", "blksz")
 
 
+def usable(codecs: DataFrame, wanted: DataFrame, page: int = PAGE) -> DataFrame:
+    """``wanted`` (name, blksz) with the codec's id and problem: unknown, not available, or a block size
+    that it does not take (one without a least size takes a page at least)."""
+    known = codecs.select(F.col("name").alias("__name"), "id", "compiled", F.when(F.col("min_blksz") == 0, page).otherwise(F.col("min_blksz")).alias("__low"), F.col("max_blksz").alias("__high"))
+    joined = wanted.join(F.broadcast(known), F.col("name") == F.col("__name"), "left")  # one row per codec
+    problem = F.when(F.col("__name").isNull(), "unknown").when(~F.col("compiled"), "not available").when((F.col("blksz") < F.col("__low")) | (F.col("blksz") > F.col("__high")), "block size")
+    return joined.select(*wanted.columns, "id", problem.alias("problem"))
+
+
+def first_available(codecs: DataFrame) -> DataFrame:
+    """The codec with the least id among those that are available."""
+    return codecs.where("compiled").orderBy("id").limit(1)
+
+
+def xz_data_problem(data: Column, least: int = 4096) -> Column:
+    """What is wrong with xz's codec data (8 bytes: a magic number and the dictionary size); null if nothing is."""
+    size = little_endian(data, 5, 4)
+    return F.when(F.octet_length(data) != 8, "length").when(little_endian(data, 1, 4) != XZ_MAGIC, "magic").when(size < least, "dictionary")
+
+
 def _encoder(name: str, level: int | None) -> Callable[[bytes], bytes]:
     if name == "zlib":
         return lambda raw: zlib.compress(raw, -1 if level is None else level)
