@@ -293,25 +293,23 @@ def codec_lookup(spark, sf_dir):
     return orders.join(F.broadcast(known), F.col("flag") == F.col("id"), "left").select("o_orderkey", "codec", F.coalesce("compiled", F.lit(False)).alias("usable"))  # five rows
 
 
-#: A device table in its text form.
-DEVICES = """# name type mode uid gid major minor start inc count
-/dev          d      755    0     0     -       -       -       -     -
-/dev/mem      c      640    0     0     1       1       0       0     -
-/dev/null     c      640    0     0     1       3       0       0     -
-/dev/tty      c      666    0     0     5       0       0       0     -
-
-/dev/tty      c      666    0     0     4       0       0       1     6
-/dev/ram      b      640    0     0     1       0       0       1     4
-/dev/loop     b      640    0     0     7       0       0       1     2
+#: A device table in its text form.
+DEVICES = """# path type mode uid gid major minor start step count
+/unit         d 711 3 4 - - - - -
+/unit/memory  c 606 3 4 9 5 - - -
+
+/unit/tape    b 620 3 4 21 0 0 2 4
+/unit/port    c 602 3 4 33 7 2 1 5
+/unit/clock   c 644 3 4 40 1 0 0 0
 """
 
 
-@query("""SELECT path || CASE WHEN i IS NULL THEN '' ELSE i::VARCHAR END AS path, type, mode, major, CASE WHEN i IS NULL THEN minor ELSE major + i * incr - start END AS minor FROM (
+@query("""SELECT path || CASE WHEN i IS NULL THEN '' ELSE i::VARCHAR END AS path, type, mode, major, CASE WHEN i IS NULL THEN minor ELSE major + i * step - start END AS minor FROM (
 SELECT *, unnest(CASE WHEN cnt > start THEN generate_series(start, cnt - 1) WHEN cnt > 0 THEN [] ELSE [NULL]::BIGINT[] END) AS i FROM
-(VALUES ('/dev', 'd', 493, 0, 0, 0, 0, 0), ('/dev/mem', 'c', 416, 1, 1, 0, 0, 0), ('/dev/null', 'c', 416, 1, 3, 0, 0, 0), ('/dev/tty', 'c', 438, 5, 0, 0, 0, 0), ('/dev/tty', 'c', 438, 4, 0, 0, 1, 6), ('/dev/ram', 'b', 416, 1, 0, 0, 1, 4), ('/dev/loop', 'b', 416, 7, 0, 0, 1, 2)) v(path, type, mode, major, minor, start, incr, cnt))""")
+(VALUES ('/unit', 'd', 457, 0, 0, 0, 0, 0), ('/unit/memory', 'c', 390, 9, 5, 0, 0, 0), ('/unit/tape', 'b', 400, 21, 0, 0, 2, 4), ('/unit/port', 'c', 386, 33, 7, 2, 1, 5), ('/unit/clock', 'c', 420, 40, 1, 0, 0, 0)) v(path, type, mode, major, minor, start, step, cnt))""")
 def device_expand(spark, sf_dir):
     lines = spark.createDataFrame([(x,) for x in DEVICES.splitlines()], "value string")
-    return devices.expand(devices.parse(lines)).select("path", "type", "mode", "major", "minor")
+    return devices.expand(devices.usable(devices.parse(lines))).select("path", "type", "mode", "major", "minor")
 
 
 PATCH = """(SELECT s_suppkey + (CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1000000 END) AS k, s_nationkey + 100 AS nation FROM supplier)"""
@@ -374,13 +372,13 @@ def live_state_users(spark, sf_dir):
     return traces.live_users(changes, "user_id", ["ts", "event_id"], "delta").select("event_id", "user_id", "live")
 
 
-@query("""SELECT event_type AS name, user_id % 3 AS fstype, count(*) AS n, round(sum(value::DECIMAL(18,2))::DOUBLE / count(*), 4) AS avg_real FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type AS name, user_id % 3 AS fstype, count(*) AS n, round_even(sum(value::DECIMAL(18,2))::DOUBLE / count(*), 4) AS avg_real FROM events GROUP BY 1, 2""")
 def bench_report(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), (F.col("user_id") % 3).alias("fstype"), F.col("value").cast("decimal(18,2)").alias("real"))
     return report.averages(log, ["name", "fstype"], ["real"])
 
 
-@query("SELECT event_type AS name, " + ", ".join(f"round(sum(CASE WHEN user_id % 3 = {k} THEN value::DECIMAL(18,2) END)::DOUBLE / count(CASE WHEN user_id % 3 = {k} THEN 1 END), 4) AS avg_{k}" for k in range(3)) + " FROM events GROUP BY 1")
+@query("SELECT event_type AS name, " + ", ".join(f"round_even(sum(CASE WHEN user_id % 3 = {k} THEN value::DECIMAL(18,2) END)::DOUBLE / count(CASE WHEN user_id % 3 = {k} THEN 1 END), 4) AS avg_{k}" for k in range(3)) + " FROM events GROUP BY 1")
 def bench_pivot(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), (F.col("user_id") % 3).alias("fstype"), F.col("value").cast("decimal(18,2)").alias("real"))
     return report.pivoted(log, "name", "fstype", [0, 1, 2], "real")
@@ -405,12 +403,12 @@ def seeded_shuffle(spark, sf_dir):
     return ordered_total(keyed, ["turn", "p_partkey"], F.lit(1), "place").select("p_partkey", "place")
 
 
-@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) > 0 AS numbered FROM lineitem")
+@query("SELECT l_returnflag, count(*) AS n, 0::BIGINT AS least, count(*) - 1 AS most, (count(*) * (count(*) - 1) // 2)::BIGINT AS total, count(*) AS n_distinct FROM lineitem GROUP BY l_returnflag")
 def distributed_numbering(spark, sf_dir):
-    """Gapless numbers within three hot groups; the order within a group is free."""
+    """Gapless numbers within three hot groups; the order within a group is free, so its numbers are summed up."""
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
-    numbered = number_rows(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber"], "n", 600_000, 3)
-    return numbered.select("l_orderkey", "l_linenumber", (F.col("n") >= 0).alias("numbered"))
+    numbered = number_rows(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber"], "at", rows.count(), 3, per_bucket=5000)
+    return numbered.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least"), F.max("at").alias("most"), F.sum("at").alias("total"), F.countDistinct("at").alias("n_distinct"))
 
 
 @query("SELECT doc_id, strlen(text)::BIGINT AS value, (strlen(text) % 256)::BIGINT AS low FROM documents")
@@ -455,3 +453,6 @@ def image_build_check(spark, sf_dir):
     bad = container.violations(held).groupBy(F.col("name").alias("__bad")).count()
     files = container.read(held).select("name", F.sha2("content", 256).alias("sha256"))
     return files.join(bad, F.col("name") == F.col("__bad"), "left").select("name", "sha256", F.coalesce("count", F.lit(0)).cast("int").alias("n_violations"))
+
+
+from lamella import tree_queries  # noqa: E402, F401 - adds its queries to those above
