@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from lamella.plans.spool import spool
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: The order hash has 60 bits; the first 12 of them are the bucket.
-BUCKET_BITS = 12
+#: The order hash has 60 bits; the first of them, half as many as the number of documents has, are the
+#: bucket. So a leaf has about as many buckets as documents in one bucket.
+HASH_BITS = 60
 DEC = "decimal(19,0)"
 
 
@@ -121,8 +122,9 @@ def cuts(rows: DataFrame, aim: Mixture) -> DataFrame:
     names = aim.names
     plan = spool(leaf_plan(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), aim), "mix-plan")
     partial = plan.where("rest > 0").select(*names, "epochs", "rest")
+    bits = max(4, rows.count().bit_length() // 2)
     place = order_hash(aim.seed, F.col("epochs") + 1, F.col("doc_id"))
-    placed = rows.join(partial, names).withColumn("hash", place).withColumn("bucket", F.shiftright("hash", 60 - BUCKET_BITS))
+    placed = rows.join(partial, names).withColumn("hash", place).withColumn("bucket", F.shiftright("hash", HASH_BITS - bits))
     sums = placed.groupBy(*names, "bucket").agg(F.sum("n_tokens").alias("sum"), F.first("rest").alias("rest"))
     upto = Window.partitionBy(*names).orderBy("bucket")
     ends = sums.withColumn("before", F.sum("sum").over(upto) - F.col("sum")).where("before < rest and before + sum >= rest").select(*names, "bucket", "before")
