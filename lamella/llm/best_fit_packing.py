@@ -31,6 +31,8 @@ from lamella.plans.spool import spool
 
 SIZE = 1024
 END = 2
+#: About how many pieces of a common length are ordered together for their ranks.
+PER_BUCKET = 4096
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -164,7 +166,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     for length, n in counted:
         histogram[length] = n
     table = places(plan(histogram, size), size)
-    ranked = number_rows(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "__rank", int(histogram.sum()), max(1, len(counted)))
+    ranked = number_rows(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "__rank", int(histogram.sum()), max(1, len(counted)), PER_BUCKET)
     bound = int(histogram.max(initial=0)) + 1
     start_keys = table["length"] * bound + table["rank"]
 
