@@ -19,7 +19,7 @@ window whose hash that of other words hides is kept: with 64 bits, some two in 1
 Special rows: null and empty texts have no words; fewer than 13 words have no window and
 keep all; rows of one doc_id do not repeat one another, whether their texts are equal or
 not; a null doc_id counts as larger than all others, and rows without one do not repeat one
-another. Extra columns are ignored. An empty table
+another (the largest bigint stands for none, so a doc_id of 2^63 - 1 comes back as null). Extra columns are ignored. An empty table
 gives an empty result.
 """
 

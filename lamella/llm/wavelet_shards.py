@@ -11,7 +11,7 @@ order; each task cuts its range into shards of about ``shard_tokens`` ids and ea
 is one row of a Parquet file in the output folder, written by Spark's own committer.
 
 Special rows: a null or empty text has the end id only; rows with a null doc_id come
-first; repeated rows are all kept, side by side; extra columns are ignored. An empty
+first (the least bigint stands for none, so a doc_id of -2^63 comes back as null); repeated rows are all kept, side by side; extra columns are ignored. An empty
 table gives an empty folder and no rows.
 """
 
@@ -24,11 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.common import out_batches, rows_of, whole_text
 from lamella.llm.tokenise import encoder
+from lamella.plans.numbering import ordered_total
 from lamella.plans.spool import spool_path
 
 END = 2
@@ -64,7 +65,8 @@ def build(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray) -> bytes:
 
 
 class WaveletFile:
-    """Reads one shard's file; planes are unpacked when they are needed."""
+    """Reads one shard's file. All planes are expanded to their packed bits (a few MB for a shard);
+    single bits are only unpacked where a query looks."""
 
     def __init__(self, payload: bytes) -> None:
         import zstandard
@@ -209,10 +211,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     shards = files(spark, path)
     docs = shards.select("shard", "payload").mapInArrow(decode, READ)
-    # One short row per shard: their running total is small beside the shards themselves.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = shards.select(F.col("shard").alias("__shard"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("__base"))
-    return docs.join(base, docs["shard"] == base["__shard"]).select("doc_id", (F.col("__base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    base = ordered_total(shards.select(F.col("shard").alias("__shard"), "n_tokens"), ["__shard"], F.col("n_tokens"), "__ahead").drop("n_tokens")
+    return docs.join(base, docs["shard"] == base["__shard"]).select("doc_id", (F.col("__ahead") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def counts(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
