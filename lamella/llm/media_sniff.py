@@ -141,15 +141,135 @@ def pdf_end(blob: bytes, at: int) -> int | None:
     return mark + 5
 
 
-#: Magic bytes, type and validator of each known format.
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
-    (b"RIFF", "audio/wav", wave_end),
-    (b"\x89PNG\r\n\x1a\n", "image/png", png_end),
-    (b"GIF87a", "image/gif", gif_end),
-    (b"GIF89a", "image/gif", gif_end),
-    (b"BM", "image/bmp", bmp_end),
-    (b"\x1f\x8b\x08", "application/gzip", gzip_end),
-    (b"%PDF-", "application/pdf", pdf_end),
+def webp_end(blob: bytes, at: int) -> int | None:
+    if len(blob) < at + 20 or blob[at + 8 : at + 12] != b"WEBP" or blob[at + 12 : at + 16] not in (b"VP8 ", b"VP8L", b"VP8X"):
+        return None
+    end, here = at + 8 + struct.unpack_from("<I", blob, at + 4)[0], at + 12
+    while here + 8 <= end <= len(blob):
+        size = struct.unpack_from("<I", blob, here + 4)[0]
+        here += 8 + size + size % 2
+    return end if here == end else None
+
+
+def jpeg_end(blob: bytes, at: int) -> int | None:
+    """Segments up to the end marker; a frame header with a size must come before the first scan."""
+    here, framed = at + 2, False
+    while here + 4 <= len(blob) and blob[here] == 0xFF:
+        marker, size = blob[here + 1], struct.unpack_from(">H", blob, here + 2)[0]
+        if marker == 0xD9:
+            return None  # an end without a scan
+        if size < 2 or here + 2 + size > len(blob) or marker < 0xC0:
+            return None
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack_from(">HH", blob, here + 5) if size >= 8 else (0, 0)
+            framed = bool(width)
+        here += 2 + size
+        if marker == 0xDA:
+            if not framed:
+                return None
+            while True:  # coded data: an FF is followed by 00 or a restart, else it is the next marker
+                here = blob.find(b"\xff", here)
+                if here < 0 or here + 2 > len(blob):
+                    return None
+                if blob[here + 1] == 0xD9:
+                    return here + 2
+                if blob[here + 1] and not 0xD0 <= blob[here + 1] <= 0xD7:
+                    break
+                here += 2
+    return None
+
+
+def zip_end(blob: bytes, at: int) -> int | None:
+    """The end record whose directory begins where it says and lists entries that stand where it says."""
+    mark = blob.find(b"PK\x05\x06", at)
+    while mark >= 0 and mark + 22 <= len(blob):
+        count, size, offset, comment = struct.unpack_from("<HIIH", blob, mark + 10)
+        here = at + offset
+        if here + size == mark and mark + 22 + comment <= len(blob):
+            for _ in range(count):
+                if here + 46 > mark or blob[here : here + 4] != b"PK\x01\x02":
+                    return None
+                name, extra, note = struct.unpack_from("<HHH", blob, here + 28)
+                local = at + struct.unpack_from("<I", blob, here + 42)[0]
+                if blob[local : local + 4] != b"PK\x03\x04":
+                    return None
+                here += 46 + name + extra + note
+            return mark + 22 + comment if here == mark and count else None
+        mark = blob.find(b"PK\x05\x06", mark + 4)
+    return None
+
+
+def mp4_end(blob: bytes, at: int) -> int | None:
+    """Boxes from the file type on, as long as they are sound; one of them must be the movie's."""
+    here, found = at, set()
+    while here + 8 <= len(blob):
+        size, name = struct.unpack_from(">I4s", blob, here)
+        if size == 1 and here + 16 <= len(blob):
+            size = struct.unpack_from(">Q", blob, here + 8)[0]
+        if size < 8 or here + size > len(blob) or not name.isalnum():
+            break
+        found.add(name)
+        here += size
+    return here if b"ftyp" in found and b"moov" in found else None
+
+
+def ogg_end(blob: bytes, at: int) -> int | None:
+    """The pages of one stream, numbered from its first to its last."""
+    here, number, stream = at, 0, None
+    while here + 27 <= len(blob) and blob[here : here + 5] == b"OggS\0":
+        flags, (serial, page) = blob[here + 5], struct.unpack_from("<II", blob, here + 14)
+        table = blob[here + 27 : here + 27 + blob[here + 26]]
+        stop = here + 27 + len(table) + sum(table)
+        if len(table) < blob[here + 26] or stop > len(blob) or page != number or bool(flags & 2) != (number == 0) or stream not in (None, serial):
+            return None
+        if flags & 4:
+            return stop
+        here, number, stream = stop, number + 1, serial
+    return None
+
+
+#: Kilobits a second and samples a second of layer III, by the header's index; MPEG 1 and 2.
+BITRATES = {3: (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+SAMPLES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000)}
+
+
+def mp3_end(blob: bytes, at: int) -> int | None:
+    """Frames that follow each other, three at least, perhaps after a tag."""
+    here, frames = at, 0
+    if blob[at : at + 3] == b"ID3":
+        if len(blob) < at + 10 or any(x & 0x80 for x in blob[at + 6 : at + 10]):
+            return None
+        here = at + 10 + sum(x << 7 * k for k, x in enumerate(reversed(blob[at + 6 : at + 10])))
+    while here + 4 <= len(blob) and blob[here] == 0xFF and blob[here + 1] & 0xE6 == 0xE2:
+        version, rate, samples = blob[here + 1] >> 3 & 3, blob[here + 2] >> 4, blob[here + 2] >> 2 & 3
+        if version not in BITRATES or not 0 < rate < 15 or samples == 3:
+            break
+        size = (144 if version == 3 else 72) * BITRATES[version][rate] * 1000 // SAMPLES[version][samples] + (blob[here + 2] >> 1 & 1)
+        if here + size > len(blob):
+            break
+        here, frames = here + size, frames + 1
+    return here if frames >= 3 else None
+
+
+#: Magic bytes, where in the medium they stand, type and validator of each known format.
+FORMATS: list[tuple[bytes, int, str, Callable[[bytes, int], int | None]]] = [
+    (b"RIFF", 0, "audio/wav", wave_end),
+    (b"RIFF", 0, "image/webp", webp_end),
+    (b"\x89PNG\r\n\x1a\n", 0, "image/png", png_end),
+    (b"GIF87a", 0, "image/gif", gif_end),
+    (b"GIF89a", 0, "image/gif", gif_end),
+    (b"BM", 0, "image/bmp", bmp_end),
+    (b"\xff\xd8\xff", 0, "image/jpeg", jpeg_end),
+    (b"ftyp", 4, "video/mp4", mp4_end),
+    (b"OggS", 0, "application/ogg", ogg_end),
+    (b"ID3", 0, "audio/mpeg", mp3_end),
+    (b"\xff\xfa", 0, "audio/mpeg", mp3_end),
+    (b"\xff\xfb", 0, "audio/mpeg", mp3_end),
+    (b"\xff\xf2", 0, "audio/mpeg", mp3_end),
+    (b"\xff\xf3", 0, "audio/mpeg", mp3_end),
+    (b"PK\x03\x04", 0, "application/zip", zip_end),
+    (b"\x1f\x8b\x08", 0, "application/gzip", gzip_end),
+    (b"%PDF-", 0, "application/pdf", pdf_end),
 ]
 
 
@@ -158,22 +278,24 @@ def automaton():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for magic, kind, end in FORMATS:
-        found.add_word(magic.decode("latin-1"), (len(magic), kind, end))
+    for magic in {magic for magic, *_ in FORMATS}:
+        found.add_word(magic.decode("latin-1"), [(len(magic) + place, kind, end) for m, place, kind, end in FORMATS if m == magic])
     found.make_automaton()
     return found
 
 
 def sniff(blob: bytes, magics) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the valid media: the one at offset 0, then those that begin
-    further in and not within one another."""
+    further in and not within one another. What is of the type of the first and ends with it is
+    its own tail."""
     media, free = [], 0
-    for last, (size, kind, end) in magics.iter(blob.decode("latin-1")):
-        at = last - size + 1
-        if at < free or (stop := end(blob, at)) is None:
-            continue
-        media.append((kind, at, stop - at))
-        free = 1 if at == 0 else stop
+    for last, formats in magics.iter(blob.decode("latin-1")):
+        for size, kind, end in formats:
+            at = last - size + 1
+            if at >= free and (stop := end(blob, at)) is not None and (kind, 0, stop) not in media:
+                media.append((kind, at, stop - at))
+                free = 1 if at == 0 else stop
+                break
     return media
 
 
