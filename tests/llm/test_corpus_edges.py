@@ -140,6 +140,12 @@ def test_mixture_takes_all_of_a_large_budget(docs):
     assert got.where("doc_id = 9").count() == 1
 
 
+def test_mixture_of_odd_rows(docs):
+    got = source_mixing.mixture(docs).collect()
+    assert {r.doc_id for r in got} <= {r.doc_id for r in docs.collect()} and all(r.epoch in (1, 2) for r in got)
+    assert max(r.n_tokens for r in got) == 30001
+
+
 def test_empty_mixture(none):
     assert source_mixing.mixture(none).count() == 0
 

@@ -396,6 +396,35 @@ def test_sniffing():
     assert media_sniff.sniff(bmp, magics) == [("image/bmp", 0, 58)]
 
 
+def more_media():
+    """A small sound medium of each further type."""
+    import io
+    import zipfile
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "hello " * 50)
+        z.writestr("b/c", b"\0" * 10)
+    segment = lambda marker, body: b"\xff" + bytes([marker]) + struct.pack(">H", len(body) + 2) + body
+    jpeg = b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xC0, b"\x08\0\1\0\1\1\1\x11\0") + segment(0xDA, b"\1\1\0\0?\0") + b"ab\xff\0c\xff\xd3d" + b"\xff\xd9"
+    chunk = b"VP8L" + struct.pack("<I", 3) + b"xyz\0"
+    webp = b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+    box = lambda name, body: struct.pack(">I", 8 + len(body)) + name + body
+    mp4 = box(b"ftyp", b"isom\0\0\2\0") + box(b"moov", box(b"mvhd", b"\0" * 20)) + box(b"mdat", b"data")
+    page = lambda flags, n, body: b"OggS\0" + bytes([flags]) + b"\0" * 8 + struct.pack("<III", 7, n, 0) + bytes([1, len(body)]) + body
+    ogg = page(2, 0, b"head") + page(0, 1, b"more") + page(4, 2, b"end")
+    frame = b"\xff\xfb\x90\x00" + b"\0" * 413
+    return {"image/jpeg": jpeg, "image/webp": webp, "application/zip": packed.getvalue(), "video/mp4": mp4, "application/ogg": ogg, "audio/mpeg": b"ID3\4\0\0\0\0\0\5title" + frame * 3}
+
+
+def test_further_formats():
+    magics = media_sniff.automaton()
+    for kind, blob in more_media().items():
+        assert media_sniff.sniff(blob, magics) == [(kind, 0, len(blob))], kind
+        assert (kind, 7, len(blob)) in media_sniff.sniff(b"before " + blob + b" after", magics), kind
+        assert all(found[0] != kind for found in media_sniff.sniff(blob[: len(blob) // 2], magics)), kind
+
+
 def test_types_are_corrected_and_media_carved(spark):
     media = spark.createDataFrame([(1, 0, "image/png", bytearray(media_sniff.wave(gif()))), (2, 0, "image/gif", bytearray(gif())), (3, 0, "audio/wav", bytearray(b"RIFFnothing"))], "doc_id bigint, n_bytes bigint, declared string, media binary")
     got = {r.doc_id: (r.type, r.corrected) for r in media_sniff.features(media).collect()}
