@@ -69,6 +69,14 @@ def device_number(major: Column, minor: Column) -> Column:
     return low.bitwiseOR(F.shiftleft(minor.bitwiseAND(F.lit(~0xFF)), 12)).bitwiseOR(F.shiftleft(major.bitwiseAND(F.lit(~0xFFF)), 32))
 
 
+def device_major(number: Column) -> Column:
+    return F.shiftright(number, 8).bitwiseAND(F.lit(0xFFF)).bitwiseOR(F.shiftrightunsigned(number, 32).bitwiseAND(F.lit(~0xFFF)))
+
+
+def device_minor(number: Column) -> Column:
+    return number.bitwiseAND(F.lit(0xFF)).bitwiseOR(F.shiftright(number, 12).bitwiseAND(F.lit(0xFFFFFF00)))
+
+
 def strict_integer(text: Column) -> Column:
     """A decimal option value as bigint; an error for anything else. Blanks may lead."""
     plain = F.regexp_extract(text, r"^[\x20\x09-\x0D]*([+-]?[0-9]+)$", 1)

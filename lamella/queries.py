@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lamella.functions import paths as P
 from lamella.functions import scalars as S
 from lamella.operators import content, devices, layout, report, traces, tree
-from lamella.plans.numbering import number_rows, ordered_total
+from lamella.plans.numbering import number_rows, ordered_lag, ordered_total
 from lamella.plans.spool import spool
 from lamella.sources import codecs, container
 
@@ -334,11 +334,10 @@ def device_verify(spark, sf_dir):
 
 @query("""SELECT p_brand, p_partkey, p_name, coalesce(lag(p_name[1]) OVER (PARTITION BY p_brand ORDER BY p_partkey) <= p_name[1], true) AS ordered FROM part""")
 def sort_order_check(spark, sf_dir):
-    from pyspark.sql import Window
-
     first = F.substring("p_name", 1, 1)
-    before = F.lag(first).over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", F.coalesce(before <= first, F.lit(True)).alias("ordered"))
+    before = ordered_lag(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name"), ["p_brand", "p_partkey"], F.struct("p_brand", first.alias("first")), "before")
+    lower = (F.col("before")["p_brand"] == F.col("p_brand")) & (first < F.col("before")["first"])
+    return before.select("p_brand", "p_partkey", "p_name", (~F.coalesce(lower, F.lit(False))).alias("ordered"))
 
 
 @query("""SELECT l_partkey, count(*) AS n, min(l_extendedprice / l_quantity) = max(l_extendedprice / l_quantity) AS consistent, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY l_partkey""")

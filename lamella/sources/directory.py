@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "path string, type string, mode int, uid bigint, gid bigint, size bigint, target string, skip_reason string"
+SCHEMA = "path string, type string, mode int, uid bigint, gid bigint, size bigint, target string, skip_reason string, device bigint, mtime bigint"
 LETTERS = {stat.S_IFREG: "f", stat.S_IFDIR: "d", stat.S_IFLNK: "l", stat.S_IFCHR: "c", stat.S_IFBLK: "b", stat.S_IFSOCK: "s", stat.S_IFIFO: "p"}
 
 
@@ -50,9 +50,10 @@ class TreeReader(DataSourceReader):
         try:
             s = os.lstat(full)
         except OSError:
-            return (path, "?", None, None, None, None, None, "unreadable"), []
+            return (path, None, None, None, None, None, None, "unknown", None, None), []
         kind = LETTERS.get(stat.S_IFMT(s.st_mode), "?")
         readable = kind not in "fd" or os.access(full, os.R_OK)
+        device = s.st_rdev if kind in "cb" else None
         why = None
         if not readable:
             why = "unreadable"
@@ -61,4 +62,4 @@ class TreeReader(DataSourceReader):
         elif kind == "s" and not self.sockets:
             why = "socket"
         target = os.readlink(full) if kind == "l" else None
-        return (path, kind, s.st_mode, s.st_uid, s.st_gid, s.st_size, target, why), os.listdir(full) if kind == "d" and readable else []
+        return (path, kind, s.st_mode, s.st_uid, s.st_gid, s.st_size, target, why, device, int(s.st_mtime)), os.listdir(full) if kind == "d" and readable else []

@@ -88,9 +88,22 @@ def test_unusable_device_lines_are_errors(spark):
             devices.usable(rows).collect()
 
 
+def test_a_directory_as_a_device_table(spark, tmp_path):
+    (tmp_path / "in" / "d").mkdir(parents=True)
+    (tmp_path / "in" / "f").write_text("left out")
+    os.mkfifo(tmp_path / "in" / "d" / "p", 0o622)
+    os.chmod(tmp_path / "in" / "d" / "p", 0o622)
+    os.chmod(tmp_path / "in" / "d", 0o711)
+    text_tables.write_device_table(text_tables.directory_table(spark, str(tmp_path / "in")), str(tmp_path / "table"))
+    got = {(r.path, r.type, r.mode, r.uid) for r in devices.usable(text_tables.device_table(spark, str(tmp_path / "table"))).collect()}
+    assert got == {("/d", "d", 0o711, os.getuid()), ("/d/p", "p", 0o622, os.getuid())}
+
+
 @pytest.mark.parametrize(("major", "minor"), [(1, 3), (1, 300), (4095, 255), (4096, 0), (259, 1 << 20)])
 def test_device_numbers(spark, major, minor):
     row = spark.createDataFrame([(major, minor)], "major bigint, minor bigint").select(scalars.device_number(F.col("major"), F.col("minor")).alias("n"), devices.fits_bits(16).alias("fits")).first()
+    again = spark.createDataFrame([(row.n,)], "n bigint").select(scalars.device_major(F.col("n")), scalars.device_minor(F.col("n"))).first()
+    assert again[:] == (major, minor)
     assert row.n == os.makedev(major, minor) and row.fits == (os.makedev(major, minor) < 1 << 16)
 
 
