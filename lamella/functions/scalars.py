@@ -34,6 +34,11 @@ def shift_of(block: Column) -> Column:
     return (F.length(F.bin(block.cast("bigint"))) - 1).cast("int")
 
 
+def page_bytes(content: Column, page_nr: Column, page: int = 4096) -> Column:
+    """A page of a binary column; what lies past its end is zero bytes."""
+    return F.rpad(F.substring(content, (page_nr * page + 1).cast("int"), F.lit(page)), page, F.lit(b"\0"))
+
+
 def node_type(mode: Column) -> Column:
     bits = mode.bitwiseAND(F.lit(TYPE_MASK))
     out = F.lit("?")
@@ -138,5 +143,6 @@ def worst_case(codec: str, n: Column) -> Column:
     if codec == "zstd":
         return n + F.shiftright(n, 8) + F.when(n < 131072, F.shiftright(F.lit(131072) - n, 11)).otherwise(F.lit(0))
     if codec == "xz":
-        return n + F.floor(n / 65536 + 1) * 3 + 128
+        chunks = F.call_function("div", n + 65535, F.lit(65536).cast("bigint"))  # three bytes a chunk, one at the end
+        return (n + chunks * 3 + 1 + 3).bitwiseAND(F.lit(~3)) + 92 + 48  # headers of the block, and of the stream
     raise ValueError(codec)

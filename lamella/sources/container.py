@@ -53,6 +53,15 @@ def build(files: DataFrame, codec: str = "zlib", block: int = 4096) -> Container
     return Container(spool(entries, "entries"), placed, codec, block)
 
 
+def totals_problem(held: Container, stored: DataFrame) -> DataFrame:
+    """field, counted, told: where the totals that were stored (one row of ``totals``) are not those that are counted."""
+    fields = ("n_entries", "metadata_bytes", "plain_bytes", "n_blocks", "data_bytes")
+    told = stored.select(*(F.col(c).alias(f"told_{c}") for c in fields))
+    both = held.totals().crossJoin(told)  # one row each
+    each = both.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("bigint").alias("counted"), F.col(f"told_{c}").cast("bigint").alias("told")) for c in fields))))
+    return each.where("not (counted <=> told)")
+
+
 def plain_blocks(held: Container) -> DataFrame:
     """digest, blk_nr, blk_offset, blk_length, crc, plain of each block; plain is null where it does not decode."""
     plain = decoded(F.col("payload"), F.col("blk_length"), held.codec).alias("plain")

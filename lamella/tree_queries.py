@@ -347,3 +347,39 @@ def extract_and_scan(spark, sf_dir):
     spark.dataSource.register(TreeSource)
     found = spark.read.format("tree").option("path", root).load()
     return found.select("path", "type", F.col("mode").bitwiseAND(F.lit(0o777)).alias("mode"), F.when(F.col("type") != "d", F.col("size")).otherwise(F.lit(0)).alias("size"), "target")
+
+
+@query("""SELECT 'n_entries' AS field, 4 AS counted, 3 AS told UNION ALL SELECT 'plain_bytes', 16000, 10000""")
+def totals_check(spark, sf_dir):
+    """A container whose totals were stored before its last file came."""
+    held = _same_names(spark)
+    stored = held.totals().withColumn("n_entries", F.col("n_entries") - 1).withColumn("plain_bytes", F.col("plain_bytes") - 6000)
+    found = container.totals_problem(held, stored)
+    return found.select("field", F.col("counted").cast("int").alias("counted"), F.col("told").cast("int").alias("told"))
+
+
+@query("""WITH p AS (SELECT doc_id, strlen(text) AS size, unnest(generate_series(0, strlen(text) // 1024 + 1)) AS page_nr FROM documents)
+SELECT doc_id, page_nr, 1024 AS length, 1024 - greatest(0, least(1024, size - page_nr * 1024)) AS zeros FROM p""")
+def page_fill(spark, sf_dir):
+    """The pages of every text and one past its end, which is all zeros."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    last = F.call_function("div", F.octet_length("content"), F.lit(1024)) + 1
+    pages = docs.select("doc_id", "content", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("page_nr")).withColumn("page", S.page_bytes(F.col("content"), F.col("page_nr"), 1024))
+    zeros = F.call_function("div", F.length(F.regexp_extract(F.hex("page"), "(?:00)*$", 0)), F.lit(2))
+    return pages.select("doc_id", "page_nr", F.octet_length("page").alias("length"), zeros.alias("zeros"))
+
+
+@query("""SELECT doc_id, ((n + (n + 65535) // 65536 * 3 + 1 + 3) // 4 * 4 + 140)::BIGINT AS bound FROM (SELECT doc_id, strlen(text)::BIGINT AS n FROM documents)""")
+def xz_bound(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.worst_case("xz", S.size_of("text")).alias("bound"))
+
+
+@query("""SELECT event_type AS name, (user_id % 3)::VARCHAR AS fstype, count(*) AS n, sum(60 + (value::DECIMAL(18,2))::DECIMAL(18,6))::DOUBLE AS real FROM events GROUP BY 1, 2""")
+def bench_log_round_trip(spark, sf_dir):
+    """A benchmark log written as text, durations in minutes and seconds, and read back."""
+    path = spool_path(spark, "bench-log")
+    events = table(spark, sf_dir, "events")
+    real = F.concat(F.lit("1:"), F.col("value").cast("decimal(18,2)").cast("string"))
+    events.select((F.col("user_id") % 3).cast("string").alias("fstype"), F.col("event_type").alias("name"), F.lit("ls").alias("cmd"), real.alias("real"), F.lit("0").alias("user"), F.lit("0").alias("sys")).write.csv(path)
+    log = text_tables.bench_log(spark, path)
+    return log.groupBy("name", "fstype").agg(F.count(F.lit(1)).alias("n"), F.sum("real").cast("double").alias("real"))

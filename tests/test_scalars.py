@@ -59,3 +59,18 @@ def test_parent_levels_dots(spark):
     assert values(spark, ["/etc/hosts", "/etc", "/", "", "etc/shadow"], P.levels(F.col("x"))) == [3, 2, 1, 0, 2]
     assert values(spark, [".", "..", "/", "./", ".dot", "..dotdot"], P.is_dot(F.col("x"))) == [True, True, False, False, False, False]
     assert values(spark, ["/a/b/c", "a/b/c"], P.truncated(F.col("x"), 2)) == ["/a", "a/b"]
+
+
+def test_page_bytes(spark):
+    df = spark.createDataFrame([(b"abcdefg", 0), (b"abcdefg", 1), (b"abcdefg", 2), (b"", 0)], "x binary, p bigint")
+    assert [bytes(r[0]) for r in df.select(S.page_bytes(F.col("x"), F.col("p"), 4)).collect()] == [b"abcd", b"efg\0", b"\0" * 4, b"\0" * 4]
+
+
+def test_xz_bound_holds(spark):
+    import lzma
+    import os
+
+    for n in (0, 1, 65535, 65536, 65537, 300_000):
+        raw = os.urandom(n)
+        (bound,) = values(spark, [n], S.worst_case("xz", F.col("x")), "bigint")
+        assert len(lzma.compress(raw, format=lzma.FORMAT_XZ, check=lzma.CHECK_CRC32)) <= bound
