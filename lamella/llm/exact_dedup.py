@@ -48,8 +48,8 @@ def sha256_digest(norm: Column) -> Column:
     return F.unhex(F.sha2(norm.cast("binary"), 256))
 
 
-def _entries(docs: DataFrame, digest) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(whole_text()).alias("norm")).withColumn("digest", digest(F.col("norm")))
+def _entries(docs: DataFrame, digest, *more: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(whole_text()).alias("norm"), *more).withColumn("digest", digest(F.col("norm")))
 
 
 def _turn(doc_id: str) -> Column:
@@ -143,18 +143,21 @@ def _salted(rows: DataFrame, hot: Filter, copies: bool) -> DataFrame:
 
 
 class Found:
-    """The verified hits of one batch: its ``entries`` (doc_id, digest; stored), the ``classes`` (digest, norm,
-    keep_id, n, n_keep; stored) of the texts that the filter of repeated digests knows, and
-    ``collided`` (digests of several texts)."""
+    """The verified hits of one batch: its ``entries`` (doc_id, digest, mark; stored), the ``classes`` (digest,
+    norm, keep_id, n, n_keep; stored) of the texts whose marks (hashes as they stand) are those of
+    repeated digests, and ``collided`` (digests of several texts). Later passes look at marks, so
+    that texts are normalised and digested once, and again only for hits."""
 
     def __init__(self, docs: DataFrame, digest) -> None:
         self.docs, self.digest = docs, digest
-        self.entries = spool(_entries(docs, digest).select("doc_id", "digest"), "lsm-entries")
+        self.entries = spool(_entries(docs.withColumn("__mark", F.xxhash64(whole_text())), digest, "__mark").select("doc_id", "digest", F.col("__mark").alias("mark")), "lsm-entries")
         run = DigestIndex(docs.sparkSession, digest).flush_entries(self.entries)
         sizes = run.agg(F.count(F.when(F.col("n") > 1, 1)).alias("hits"), F.count(F.when(F.col("n") > HOT, 1)).alias("hot")).first()
         self.hits = Filter(run.where("n > 1").select("digest"), sizes["hits"])
         self.hot = Filter(run.where(F.col("n") > HOT).select("digest"), sizes["hot"])
-        texts = self.hits.marked(_entries(docs, digest), "digest", "__hit").where("__hit")
+        marks = spool(self.hits.marked(self.entries, "digest", "__hit").where("__hit").select("mark").distinct(), "lsm-marks")
+        self.marks = Filter(marks.select(F.col("mark").alias("digest")), marks.count())
+        texts = _entries(self.may(docs).where("__may"), digest)
         # Equal rows of a task meet before the shuffle, so a hot group sends one row per task and identifier.
         per_id = texts.groupBy("digest", "norm", "doc_id").count()
         verified = per_id.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.sum("count").alias("n"), F.min_by("count", _turn("doc_id")).alias("n_keep"))
@@ -162,6 +165,10 @@ class Found:
         self.collided = spool(self.classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "lsm-collided")
         self.sound = self.collided.isEmpty()
 
+    def may(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with ``__may``: whether the mark of the text is that of a hit."""
+        return self.marks.marked(docs.withColumn("__mark", F.xxhash64(whole_text())), "__mark", "__may").drop("__mark")
+
     def known(self, rows: DataFrame, *columns: str) -> DataFrame:
         """``rows`` (doc_id, digest; also norm unless ``sound``) that the filter of hits knows, with ``keep_id``, ``n``, ``n_keep``."""
         plain = self.classes.select("digest", "keep_id", "n", "n_keep").join(self.collided, "digest", "left_anti")
@@ -198,13 +205,12 @@ def duplicates(docs: DataFrame, digest=sha256_digest) -> DataFrame:
 def drop_duplicates(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Documents whose digest the filter of hits does not know pass by without a shuffle.
+    Documents whose marks are not those of hits pass by without a shuffle.
     """
     found = Found(docs, digest)
-    row = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), normalised(whole_text()).alias("norm"))
-    marked = found.hits.marked(row.withColumn("digest", digest(F.col("norm"))), "digest", "__hit")
-    alone = marked.where("not __hit").select("__row.*")
-    again = found.known(marked.where("__hit").drop("__hit"), "doc_id", "__row").where("doc_id <=> keep_id")
+    rows = found.may(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("__row"), "doc_id", "text"))
+    alone = rows.where("not __may").select("__row.*")
+    again = found.known(_entries(rows.where("__may"), digest, "__row"), "doc_id", "__row").where("doc_id <=> keep_id")
     if found.classes.where("n_keep > 1").isEmpty():
         return alone.unionByName(again.select("__row.*"))
     one = Window.partitionBy("digest", "keep_id").orderBy(F.xxhash64("__row"))
