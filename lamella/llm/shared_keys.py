@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm.common import give_back
+
 #: Keys per packed batch of a task, and about how many entries one key range has.
 PER_FLUSH = 1 << 19
 PER_RANGE = 1 << 20
@@ -40,8 +42,8 @@ Text = tuple[int, int, np.ndarray] | tuple[int, int, np.ndarray, int]
 
 
 def ranges_for(keys: int) -> int:
-    """Bits of the key range number, for so many keys."""
-    return max(3, min(24, (max(1, keys) // PER_RANGE).bit_length()))
+    """Bits of the key range number, for so many keys: 64 ranges at least, so that small inputs spread too."""
+    return max(6, min(24, (max(1, keys) // PER_RANGE).bit_length()))
 
 
 def batch(arrays: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -96,6 +98,8 @@ class Packing:
                 held, total = {}, 0
         if total:
             yield from self._flush(held)
+        held = {}
+        give_back()
 
     def _flush(self, held: dict[int, tuple[int, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
         names = np.array(sorted(held, key=lambda i: (held[i][2], i)), np.int64)  # ascending, so the first text of a key has the smallest rank

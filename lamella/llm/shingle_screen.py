@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import rows_of, whole_text
+from lamella.llm.common import give_back, rows_of, whole_text
 from lamella.llm.words import mixed
 from lamella.plans.spool import spool
 
@@ -127,6 +127,8 @@ class Screen:
                 yield from self._flush(facts, held)
                 facts, held, total = [], {}, 0
         yield from self._flush(facts, held)
+        facts, held = [], {}
+        give_back()
 
     def _flush(self, facts: list[tuple], held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         if facts:
@@ -194,8 +196,8 @@ class Screen:
 
 
 def bits_for(sent: int) -> int:
-    """Bits of the key range number, for so many sent shingles."""
-    return max(3, min(24, (sent // PER_RANGE).bit_length()))
+    """Bits of the key range number, for so many sent shingles: 64 ranges at least, so that small inputs spread too."""
+    return max(6, min(24, (sent // PER_RANGE).bit_length()))
 
 
 def screen_for(docs: DataFrame, percent: int) -> Screen:
