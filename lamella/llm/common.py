@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a per-worker memo may hold before it starts anew.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,19 @@ def out_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096, weig
             held, heavy = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+    held = []
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and two share an executor with its JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def crc32_of(ids: np.ndarray) -> int:

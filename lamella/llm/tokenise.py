@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks per generation of a worker's memo; there are two generations, of about 200 bytes a chunk.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 400_000
 
 #: A blank between two characters that are no white space starts a token of its own word.
 SAFE = re.compile(r"(?<=\S) (?=\S)")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import Memo, rows_of, whole_text
+from lamella.llm.common import Memo, give_back, rows_of, whole_text
 
 #: The chain: category and the condition on the label columns that makes a row positive.
 CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
@@ -298,6 +298,7 @@ def probabilities(docs: DataFrame, model: Chain) -> DataFrame:
                 known = np.column_stack([known, p])
             flat = known[:, DENSE:]
             yield pa.array(list(flat), schema.field("p").type)
+        give_back()
 
     from pyspark.sql.pandas.functions import arrow_udf
 
