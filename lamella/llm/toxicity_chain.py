@@ -45,6 +45,8 @@ FOLDS = 5
 STEMS = (4, 5, 6, 7)
 SPACE = 1 << 22
 LEAST_ROWS = 3
+#: Words whose features a task remembers; the memory goes back when it ends.
+WORDS = 400_000
 WORD = re.compile(r"\w+")
 DENSE = 4
 
@@ -240,7 +242,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAM
     marks = [f"__c{k}" for k in range(len(chain))]
 
     def featurise(batches):
-        memo = Memo(word_features)
+        memo = Memo(word_features, WORDS)
         for batch in batches:
             out: list[tuple] = []
             for doc, text, *flags in rows_of([batch], "__doc", "__text", *marks):
@@ -281,7 +283,7 @@ def probabilities(docs: DataFrame, model: Chain) -> DataFrame:
 
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = {int(f): i for i, f in enumerate(wanted)}
-        memo = Memo(lambda w: tuple(index[f] for f in word_features(w) if f in index))
+        memo = Memo(lambda w: tuple(index[f] for f in word_features(w) if f in index), WORDS)
         for batch in texts:
             rows, found, dense = [], [], []
             for k, text in enumerate(batch.to_pylist()):
